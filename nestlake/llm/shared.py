@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 import numpy as np
@@ -124,3 +125,9 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
 def span_hash(prefix: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     _, q = powers(len(prefix))
     return mix((prefix[j] - prefix[i]) * q[i] + (j - i).astype(np.uint64))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing refers to any more; they'd stay until the driver's next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
