@@ -7,9 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing
+from . import ann, chat, decontam, langid, mixing, neardup, sentences, suffixes, tokenfiles, tokens
 from .shared import documents
 
+#: The tokenizer of the queries; the operators take any file of the same kind.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op1_mixture_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(documents(spark, sf_dir))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(documents(spark, sf_dir), _tokenizer())
+
 
 def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its block, slot and place in the mixture."""
@@ -21,6 +38,19 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.repeats_report(documents(spark, sf_dir))
+
+
+def op6_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), words=4)
+
+
+def op7_block_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = documents(spark, sf_dir, "embeddings")
+    return ann.nearest(e.where(F.col("vec_id") % 100 == 0), e)
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -28,12 +58,17 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(c.unionByName(extra))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_files(documents(spark, sf_dir), _tokenizer())
+
+
+def op10_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.substring_report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op3_pfair_mix": op3_pfair_mix,
-        "op4_winnowing": op4_winnowing,
-        "op8_chat": op8_chat,
-    }
+    found = [op1_mixture_language, op2_token_counts, op3_pfair_mix, op4_winnowing, op5_sentence_spans, op6_hamming_join, op7_block_matrix, op8_chat, op9_token_files, op10_suffix_intervals]
+    return {f.__name__: f for f in found}
 
 
 OP4_SQL = r"""
@@ -60,4 +95,23 @@ cast(sum(length(escrole) + length(esc) + 15) as bigint) formatted_chars
 from e group by conv_id
 """
 
-SQL: dict[str, str] = {"op4_winnowing": OP4_SQL, "op8_chat": OP8_SQL}
+OP6_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') g from (select doc_id, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) i from d where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by 1),
+i as (select a.doc_id a, b.doc_id b, count(*) i from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+e as (select i.a, i.b from i join n x on x.doc_id = i.a join n y on y.doc_id = i.b where 100 * i.i >= 80 * (x.n + y.n - i.i)),
+r as (select doc_id a, doc_id b from d union select r.a, e.b from r join e on r.b = e.a),
+c as (select a doc_id, min(b) component_id from r group by 1)
+select d.doc_id, cast(coalesce(n, 0) as bigint) n_shingles, component_id, d.doc_id = component_id kept from d left join n using (doc_id) join c using (doc_id)
+"""
+
+OP7_SQL = """
+with e as (select vec_id, cast(embedding as double[]) v from embeddings
+where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p as (select q.vec_id query_id, c.vec_id, list_distance(q.v, c.v) score from e q join e c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+r as (select query_id, cast(row_number() over (partition by query_id order by score, vec_id) as int) "rank", vec_id, score from p)
+select * from r where "rank" <= 10
+"""
+
+SQL: dict[str, str] = {"op4_winnowing": OP4_SQL, "op6_hamming_join": OP6_SQL, "op7_block_matrix": OP7_SQL, "op8_chat": OP8_SQL}
