@@ -403,15 +403,19 @@ _IY = "cast((l_extendedprice >= 0)::int + (l_extendedprice >= 1000)::int + (l_ex
 _WEIGHT = "(1 + l_linenumber % 3)"
 H1 = f"h as (select {_IX} ix, count(*) entries, cast(sum({_WEIGHT}) as double) content, cast(sum({_WEIGHT} * {_WEIGHT}) as double) sumw2 from lineitem group by 1)"
 H2 = f"h as (select {_IX} ix, {_IY} iy, count(*) entries, cast(sum({_WEIGHT}) as double) content, cast(sum({_WEIGHT} * {_WEIGHT}) as double) sumw2 from lineitem group by 1, 2)"
-W = F.lit(1) + F.col("l_linenumber") % 3
+
+
+def weight():
+    """A weight of 1 to 3 for each line item."""
+    return F.lit(1) + F.col("l_linenumber") % 3
 
 
 def _h1(spark, sf_dir):
-    return hist.fill(table(spark, sf_dir, "lineitem"), [QTY], W)
+    return hist.fill(table(spark, sf_dir, "lineitem"), [QTY], weight())
 
 
 def _h2(spark, sf_dir):
-    return hist.fill(table(spark, sf_dir, "lineitem"), [QTY, PRICE], W)
+    return hist.fill(table(spark, sf_dir, "lineitem"), [QTY, PRICE], weight())
 
 
 @query(f"with {H1} select ix, entries, content, sumw2, cast((ix - 1) * 4 as double) x_low, cast(ix * 4 as double) x_high from h where ix between 1 and 12")
@@ -421,7 +425,7 @@ def hist1d_uniform(spark, sf_dir):
 
 @query(f"select {_IY} ix, count(*) entries, cast(sum({_WEIGHT}) as double) content, cast(sum({_WEIGHT} * {_WEIGHT}) as double) sumw2 from lineitem group by 1")
 def hist1d_variable(spark, sf_dir):
-    return hist.fill(table(spark, sf_dir, "lineitem"), [PRICE], W)
+    return hist.fill(table(spark, sf_dir, "lineitem"), [PRICE], weight())
 
 
 @query(f"with {H1} select * from h where ix in (0, 13)")
@@ -448,7 +452,7 @@ def hist_unweighted(spark, sf_dir):
 
 @query(f"select cast(sum({_WEIGHT}) as double) tsumw, cast(sum({_WEIGHT} * {_WEIGHT}) as double) tsumw2, cast(sum({_WEIGHT} * l_quantity) as double) tsumwx, cast(sum({_WEIGHT} * l_quantity * l_quantity) as double) tsumwx2 from lineitem where l_quantity >= 0 and l_quantity < 48")
 def hist_moments(spark, sf_dir):
-    return hist.moments(table(spark, sf_dir, "lineitem"), [QTY], W)
+    return hist.moments(table(spark, sf_dir, "lineitem"), [QTY], weight())
 
 
 @query(f"with {H2} select iy, cast(sum(entries) as bigint) entries, sum(content) content, sum(sumw2) sumw2 from h group by 1")
