@@ -23,8 +23,10 @@ from .shared import BYTE_WORDS, materialize, mix, pieces, powers, release, text_
 
 LENGTH, K = 50, 24
 #: Bytes of text whose anchors a task packs at once; anchors that meet in one group, about.
-PACK_BYTES, GROUP_ANCHORS = 12_000_000, 2_500_000
-LEAST_PARTS = 32
+PACK_BYTES, GROUP_ANCHORS = 12_000_000, 1_000_000
+LEAST_PARTS = 64
+#: Bytes of text in which a task looks at open cells at once.
+OPEN_BYTES = 3_000_000
 _U = np.uint64
 
 
@@ -257,7 +259,7 @@ def _opened(docs: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
     def send(batches):
         for b in batches:
             ids, tags = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            for lo, hi, data, off in pieces(b.column(2), PACK_BYTES):
+            for lo, hi, data, off in pieces(b.column(2), OPEN_BYTES):
                 own = b.column(3).slice(lo, hi - lo)
                 mark = own.flatten().to_numpy()
                 doc = np.repeat(np.arange(hi - lo), pa.compute.list_value_length(own).to_numpy())
