@@ -1,14 +1,12 @@
 """Removal of passages that repeat, by sliding spans of sentences.
 
-A span is SPAN consecutive sentences (all of a document that has fewer) of LEAST_WORDS words or more. Spans are hashed and
-joined over all documents; a span is not the first if it stands in a document of smaller doc_id too, or earlier in its own.
+A span is the fewest consecutive sentences, from any one on, that are SPAN or more (or all of a document that has fewer) and have
+LEAST_WORDS words or more; the last span of a document runs to its end. Spans are hashed and joined over all documents; a span is not the first if it stands in a document of smaller doc_id too, or earlier in its own.
 Every sentence that such a span covers goes.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,10 +22,10 @@ _STOP[[0x21, 0x2E, 0x3F]] = True
 
 
 def sentence_spans(data: np.ndarray, off: np.ndarray, span: int = SPAN, least: int = LEAST_WORDS):
-    """Over texts one after another: (begins, first, starts, h1, h2).
+    """Over texts one after another: (begins, first, starts, stops, h1, h2).
 
-    begins: where each sentence begins; first: number of the first sentence of each text, and of all; starts: the first
-    sentence of each span; h1, h2: 64 and 31 bits of the span's hash, from its words with A-Z taken as a-z.
+    begins: where each sentence begins; first: number of the first sentence of each text, and of all; starts, stops: the first
+    sentence of each span and the one after its last; h1, h2: 64 and 31 bits of its hash, from its words with A-Z taken as a-z.
     """
     space = _SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -36,7 +34,7 @@ def sentence_spans(data: np.ndarray, off: np.ndarray, span: int = SPAN, least: i
     to = np.flatnonzero(~space & (np.concatenate([space[1:], [True]]) | edge[1:])) + 1
     if not len(at):
         none = np.zeros(0, np.int64)
-        return none, np.zeros(len(off), np.int64), none, none.astype(np.uint64), none
+        return none, np.zeros(len(off), np.int64), none, none, none.astype(np.uint64), none
     word_of = np.searchsorted(at, off)  # the first word of each text
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     after = np.concatenate([at[1:], [len(data)]])
@@ -49,11 +47,15 @@ def sentence_spans(data: np.ndarray, off: np.ndarray, span: int = SPAN, least: i
     first = np.searchsorted(begin, word_of)
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
-    k = np.minimum(n, span)[doc]
-    starts = np.flatnonzero(np.arange(len(begin)) + k <= first[1:][doc])
-    words_to = np.concatenate([begin, [len(at)]])[starts + k[starts]]
-    enough = words_to - begin[starts] >= least
-    starts, words_to = starts[enough], words_to[enough]
+    starts, end = np.arange(len(begin)), first[1:][doc]
+    bounds = np.append(begin, len(at))
+    stops = np.maximum(starts + np.minimum(n, span)[doc], np.searchsorted(bounds, begin + least))
+    fits = stops <= end
+    starts, stops, doc, end = starts[fits], stops[fits], doc[fits], end[fits]
+    final = np.ones(len(starts), bool)
+    final[:-1] = doc[1:] != doc[:-1]
+    stops = np.where(final, end, stops)
+    words_to = bounds[stops]
     h = span_hash(prefix_hash(_LOWER[data]), at, to)
     p, q = powers(len(h))
     w = begin[starts]
@@ -61,7 +63,7 @@ def sentence_spans(data: np.ndarray, off: np.ndarray, span: int = SPAN, least: i
     for x in (h, mix(h ^ np.uint64(0x2545F4914F6CDD1D))):
         c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * p[: len(h)])])
         sums.append(mix((c[words_to] - c[w]) * q[w] + (words_to - w).astype(np.uint64)))
-    return at[begin], first, starts, sums[0], (sums[1] >> np.uint64(33)).astype(np.int64)
+    return at[begin], first, starts, stops, sums[0], (sums[1] >> np.uint64(33)).astype(np.int64)
 
 
 def _spans(docs: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ def _spans(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for lo, hi, data, off in pieces(b.column(1)):
-                _, first, starts, h1, h2 = sentence_spans(data, off)
+                _, first, starts, _, h1, h2 = sentence_spans(data, off)
                 row = np.searchsorted(first, starts, "right") - 1
                 order = np.lexsort((h1, row))
                 new = np.ones(len(order), bool)
@@ -90,16 +92,16 @@ def _later(docs: DataFrame) -> DataFrame:
     return materialize(hits.groupBy("doc_id").agg(F.collect_list("h1").alias("spans")), "spans")
 
 
-def _cut(data: np.ndarray, begins: np.ndarray, starts: np.ndarray, h1: np.ndarray, later: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+def _cut(data: np.ndarray, begins: np.ndarray, starts: np.ndarray, stops: np.ndarray, h1: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For one text: which sentences go, and where each begins and the last ends."""
     n = len(begins)
-    seen, once = np.unique(h1, return_index=True)
+    _, once = np.unique(h1, return_index=True)
     again = np.ones(len(h1), bool)
     again[once] = False
     gone = np.zeros(n + 1, np.int64)
-    bad = starts[again | np.isin(h1, later)]
-    np.add.at(gone, bad, 1)
-    np.add.at(gone, np.minimum(bad + span, n), -1)
+    bad = again | np.isin(h1, later)
+    np.add.at(gone, starts[bad], 1)
+    np.add.at(gone, stops[bad], -1)
     return np.cumsum(gone[:-1]) > 0, np.concatenate([begins, [len(data)]])
 
 
@@ -114,14 +116,14 @@ def _cleaned(docs: DataFrame) -> DataFrame:
         for b in batches:
             spans = b.column(2)
             for lo, hi, data, off in pieces(b.column(1)):
-                begins, first, starts, h1, _ = sentence_spans(data, off)
+                begins, first, starts, stops, h1, _ = sentence_spans(data, off)
                 own = np.searchsorted(starts, first)
                 rows = []
                 for i in range(hi - lo):
                     text = data[off[i] : off[i + 1]]
                     s = slice(own[i], own[i + 1])
                     late = spans[lo + i].values if spans[lo + i].is_valid else None
-                    gone, at = _cut(text, begins[first[i] : first[i + 1]] - off[i], starts[s] - first[i], h1[s], np.zeros(0, np.uint64) if late is None else late.to_numpy().view(np.uint64))
+                    gone, at = _cut(text, begins[first[i] : first[i + 1]] - off[i], starts[s] - first[i], stops[s] - first[i], h1[s], np.zeros(0, np.uint64) if late is None else late.to_numpy().view(np.uint64))
                     keep = np.ones(len(text), bool)
                     if gone.any():
                         keep = ~np.repeat(np.concatenate([[False], gone]), np.diff(np.concatenate([[0], at])))
@@ -147,42 +149,3 @@ def repeats_report(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """`remove_repeats` in figures: doc_id, n_bytes, n_removed, n_spans (runs of removed sentences), kept_sha256, n_sentences, n_removed_sentences."""
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return _cleaned(d).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_sentences", "n_removed_sentences")
-
-
-def brute_force(rows: list[tuple[int, str]]) -> list[tuple]:
-    """`repeats_report` of a few rows in plain Python, for tests."""
-    import re
-
-    cut = {}
-    for r, (_, text) in enumerate(rows):
-        words = [(m.start(), m.end(), m.group().translate({c: c + 32 for c in range(65, 91)})) for m in re.finditer(rb"[^\x20\x09-\x0D]+".decode("latin1"), text or "")]
-        sentences, run = [], []
-        for k, (a, b, w) in enumerate(words):
-            run.append((a, w))
-            gap = (text[b : words[k + 1][0]] if k + 1 < len(words) else "\n") if w[-1] not in ".!?" else "\n"
-            if "\n" in gap:
-                sentences += [run[i : i + LONGEST] for i in range(0, len(run), LONGEST)]
-                run = []
-        cut[r] = sentences
-    spans = {}
-    for r, s in cut.items():
-        k = min(SPAN, len(s))
-        spans[r] = [tuple(w for part in s[i : i + k] for _, w in part) for i in range(len(s) - k + 1)] if s else []
-    least: dict = {}
-    for r, x in spans.items():
-        for g in x:
-            if rows[r][0] is not None:
-                least[g] = min(least.get(g, rows[r][0]), rows[r][0])
-    out = []
-    for r, (doc, text) in enumerate(rows):
-        s, gone, seen = cut[r], set(), set()
-        for i, g in enumerate(spans[r]):
-            if len(g) >= LEAST_WORDS:
-                if g in seen or (doc is not None and doc > least[g]):
-                    gone |= set(range(i, min(i + SPAN, len(s))))
-                seen.add(g)
-        at = [0 if i < 0 else s[i][0][0] for i in range(len(s))] + [len(text or "")]
-        kept = (text or "")[: at[0]] + "".join((text or "")[at[i] : at[i + 1]] for i in range(len(s)) if i not in gone)
-        n, m = len((text or "").encode()), len(kept.encode())
-        out.append((doc, n, n - m, sum(i in gone and i - 1 not in gone for i in range(len(s))), hashlib.sha256(kept.encode()).hexdigest(), len(s), len(gone)))
-    return out

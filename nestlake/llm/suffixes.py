@@ -36,6 +36,8 @@ _U = np.uint64
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffixes of s (whole numbers) in order, by doubling prefixes."""
     n = len(s)
+    if not n:
+        return np.zeros(0, np.int64)
     rank, step = np.unique(s, return_inverse=True)[1].astype(np.int64), 1
     while True:
         second = np.full(n, -1, np.int64)
@@ -47,7 +49,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
         step *= 2
-        if n == 0 or rank.max() == n - 1 or step >= n:
+        if rank.max() == n - 1 or step >= n:
             return order
 
 
