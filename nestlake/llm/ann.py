@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ TILE, QUERIES, EXACT = 2048, 1024, 65_536
 
 def valid(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By number of components: ids and vectors as float64, without rows that are null, zero or hold null or non-finite parts."""
-    n = pa.compute.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False)
+    n = pc.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False)
     out = {}
     for dim in np.unique(n[n > 0]).tolist():
         keep = pa.array(n == dim)
