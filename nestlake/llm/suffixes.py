@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -264,7 +265,7 @@ def _opened(docs: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
             for lo, hi, data, off in pieces(b.column(2), OPEN_BYTES):
                 own = b.column(3).slice(lo, hi - lo)
                 mark = own.flatten().to_numpy()
-                doc = np.repeat(np.arange(hi - lo), pa.compute.list_value_length(own).to_numpy())
+                doc = np.repeat(np.arange(hi - lo), pc.list_value_length(own).to_numpy())
                 at, count = mark >> 8, (mark & 255) >> 1
                 first = off[doc] + at
                 p, q = powers(len(data))
