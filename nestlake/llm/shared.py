@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import uuid
 
@@ -74,8 +75,25 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+#: What a Python worker keeps from task to task, such as ids of pieces of text. Workers outlive stages.
+worker_caches: list[dict] = []
+
+
+def drop_caches() -> None:
+    """Give back what an earlier stage has left in this worker, so that it doesn't add to what this one needs."""
+    if not any(worker_caches):
+        return
+    for c in worker_caches:
+        c.clear()
+    gc.collect()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def pieces(col: pa.Array, most: int = 2_000_000):
     """(first row, row after the last, bytes, offsets) for runs of rows with about `most` bytes; a longer row comes alone."""
+    drop_caches()
     data, off = text_buffers(col)
     at, n = 0, len(off) - 1
     while at < n:

@@ -10,13 +10,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .shared import worker_caches
+
 #: Characters that end a piece: no token of a tokenizer that drops white space reaches over one.
 SEPARATORS = " \n"
 #: Texts of more characters are encoded in chunks.
 HUGE = 65_536
 CHUNK, OVERLAP = 32_768, 256
-#: Pieces that a worker keeps in each of two generations, and their longest: some 300 MB at most.
-CACHE, CACHED_CHARS = 900_000, 40
+#: Pieces that a worker keeps in each of two generations, and their longest: some 250 MB at most.
+CACHE, CACHED_CHARS = 600_000, 40
 #: ASCII marks that always part from the letters before them.
 MARKS = tuple(".,;:!?")
 
@@ -69,6 +71,7 @@ class Pieces(dict):
 
 
 _loaded: dict[str, Pieces] = {}
+worker_caches.append(_loaded)
 
 
 def pieces_of(path: str) -> Pieces:
