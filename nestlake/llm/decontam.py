@@ -119,7 +119,10 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, min_items: int =
     return c.select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n >= min_items).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) -> DataFrame:
-    """docs without contaminated rows. A repeated doc_id goes with any contaminated row of it; a null doc_id stays."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 1) -> DataFrame:
+    """docs without rows that hold windows of at least `min_items` items; an item under WINDOW words must occur whole.
+
+    A repeated doc_id goes with any such row of it; a null doc_id stays.
+    """
     bad = contamination(docs, benchmark).where(F.size("items") >= min_items).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)

@@ -211,3 +211,13 @@ def test_pipeline(spark, tok):
         assert (i, start, n, crc) == (own, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += n
     assert len(text) == len(rows)
+
+
+def test_one_whole_item_is_dropped(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    item = "one two three four five six seven eight nine ten"
+    sf = "/tmp/checkpoints/one-item-test"
+    spark.createDataFrame([(0, item), (1, "alpha beta gamma delta epsilon zeta eta theta")], "item_id long, text string").write.mode("overwrite").parquet(f"{sf}/benchmark.parquet")
+    rows = [(1, f"before it {item} and behind"), (2, "one two three four five six seven"), (3, "clean"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, docs, sf).collect()) == [2, 3, 4]
