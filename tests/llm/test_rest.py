@@ -221,3 +221,14 @@ def test_one_whole_item_is_dropped(spark):
     rows = [(1, f"before it {item} and behind"), (2, "one two three four five six seven"), (3, "clean"), (4, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, docs, sf).collect()) == [2, 3, 4]
+
+
+def test_a_hot_source_is_kept_whole(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, "a") for i in range(400)] + [(400, "b"), (401, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    out = corpus_pipeline.mix_sources(spark, docs, "")
+    got = [r["doc_id"] for r in out.collect()]
+    assert out.columns == docs.columns and sorted(got) == list(range(402))
+    place = {r["doc_id"]: r["place"] for r in mixing.pfair_mix(docs).collect()}
+    assert [place[i] for i in got] == sorted(place.values())
