@@ -39,7 +39,7 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.repeats_report(documents(spark, sf_dir))
+    return sentences.repeats_report(documents(spark, sf_dir), run=sentences.RUN)
 
 
 def op6_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:

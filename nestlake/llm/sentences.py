@@ -3,6 +3,9 @@
 A span is the fewest consecutive sentences, from any one on, that are SPAN or more (or all of a document that has fewer) and have
 LEAST_WORDS words or more; the last span of a document runs to its end. Spans are hashed and joined over all documents; a span is not the first if it stands in a document of smaller doc_id too, or earlier in its own.
 Every sentence that such a span covers goes.
+
+A passage that begins inside a sentence shifts the cuts of long ones, so that its spans differ from those of its copy. Where
+`run` is given, chosen runs of words (see `word_runs`) are hashed and joined as well, and go word by word.
 """
 
 from __future__ import annotations
@@ -17,21 +20,79 @@ from .shared import materialize, mix, pieces, powers, prefix_hash, release, span
 
 #: Sentences of a span, words at least. A sentence ends with . ! ? or a line, and after LONGEST words in any case.
 SPAN, LEAST_WORDS, LONGEST = 3, 12, 16
+#: Words of a passage that doesn't stay whole in a later document, wherever it begins.
+RUN = 51
 _STOP = np.zeros(256, bool)
 _STOP[[0x21, 0x2E, 0x3F]] = True
 
 
+def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of texts one after another begins and ends."""
+    space = _SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[off] = True
+    at = np.flatnonzero(~space & (np.concatenate([[True], space[:-1]]) | edge[:-1]))
+    to = np.flatnonzero(~space & (np.concatenate([space[1:], [True]]) | edge[1:])) + 1
+    return at, to
+
+
+def _sums(data: np.ndarray, at: np.ndarray, to: np.ndarray) -> list[np.ndarray]:
+    """Two kinds of prefix sums over the hashes of words, with A-Z taken as a-z."""
+    h = span_hash(prefix_hash(_LOWER[data]), at, to)
+    p, _ = powers(len(h))
+    return [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * p[: len(h)])]) for x in (h, mix(h ^ np.uint64(0x2545F4914F6CDD1D)))]
+
+
+def _hash(c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    _, q = powers(len(c))
+    return mix((c[j] - c[i]) * q[i] + (j - i).astype(np.uint64))
+
+
+def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
+    """pick (np.minimum or np.maximum) over each n elements in a row."""
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        x = pick(x[: len(x) - step], x[step:])
+        size += step
+    return x
+
+
+def word_runs(data: np.ndarray, off: np.ndarray, run: int = RUN):
+    """(first, starts, stops, h1, h2) of chosen runs of run // 2 + 1 words: first is the number of the first run of each text
+    and of all; starts and stops are in bytes, white space behind a run included.
+
+    Of each (run + 1) // 2 runs on end in a text, those of least hash are chosen (winnowing). What is chosen within `run` words
+    depends on them alone, so two texts that share `run` words share a chosen run. Texts of fewer words have none.
+    """
+    k, n = run // 2 + 1, (run + 1) // 2
+    at, to = _words(data, off)
+    word_of = np.searchsorted(at, off)
+    none = np.zeros(0, np.int64)
+    if len(at) < k + n - 1:
+        return np.zeros(len(off), np.int64), none, none, none.astype(np.uint64), none
+    sums = _sums(data, at, to)
+    i = np.arange(len(at) - k + 1)
+    g = _hash(sums[0], i, i + k)
+    least = _sliding(g, n, np.minimum)
+    end = np.repeat(word_of[1:], np.diff(word_of))  # the word behind the text of each word
+    w = np.arange(len(least))
+    inside = w + n - 1 + k <= end[: len(least)]
+    pad = np.zeros(n - 1, np.uint64)
+    least = np.concatenate([pad, np.where(inside, least, np.uint64(0)), pad])
+    i = i[(_sliding(least, n, np.maximum) == g) & (i + k <= end[: len(g)])]
+    after = np.append(at, len(data))
+    stops = np.minimum(after[i + k], off[np.searchsorted(word_of, i, "right")])
+    return np.searchsorted(i, word_of), at[i], stops, g[i], (_hash(sums[1], i, i + k) >> np.uint64(33)).astype(np.int64)
+
+
 def sentence_spans(data: np.ndarray, off: np.ndarray, span: int = SPAN, least: int = LEAST_WORDS):
     """Over texts one after another: (begins, first, starts, stops, h1, h2).
 
     begins: where each sentence begins; first: number of the first sentence of each text, and of all; starts, stops: the first
     sentence of each span and the one after its last; h1, h2: 64 and 31 bits of its hash, from its words with A-Z taken as a-z.
     """
-    space = _SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[off] = True
-    at = np.flatnonzero(~space & (np.concatenate([[True], space[:-1]]) | edge[:-1]))
-    to = np.flatnonzero(~space & (np.concatenate([space[1:], [True]]) | edge[1:])) + 1
+    at, to = _words(data, off)
     if not len(at):
         none = np.zeros(0, np.int64)
         return none, np.zeros(len(off), np.int64), none, none, none.astype(np.uint64), none
@@ -56,24 +117,22 @@ def sentence_spans(data: np.ndarray, off: np.ndarray, span: int = SPAN, least: i
     final[:-1] = doc[1:] != doc[:-1]
     stops = np.where(final, end, stops)
     words_to = bounds[stops]
-    h = span_hash(prefix_hash(_LOWER[data]), at, to)
-    p, q = powers(len(h))
-    w = begin[starts]
-    sums = []
-    for x in (h, mix(h ^ np.uint64(0x2545F4914F6CDD1D))):
-        c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * p[: len(h)])])
-        sums.append(mix((c[words_to] - c[w]) * q[w] + (words_to - w).astype(np.uint64)))
+    sums = [_hash(c, begin[starts], words_to) for c in _sums(data, at, to)]
     return at[begin], first, starts, stops, sums[0], (sums[1] >> np.uint64(33)).astype(np.int64)
 
 
-def _spans(docs: DataFrame) -> DataFrame:
-    """(h1, h2, doc_id) of each distinct span of each row."""
+def _spans(docs: DataFrame, words: int = 0) -> DataFrame:
+    """(h1, h2, doc_id) of each distinct span of each row, and of its chosen runs of words if `words` is above 0."""
 
     def run(batches):
         for b in batches:
             for lo, hi, data, off in pieces(b.column(1)):
                 _, first, starts, _, h1, h2 = sentence_spans(data, off)
                 row = np.searchsorted(first, starts, "right") - 1
+                if words:
+                    first, starts, _, *h = word_runs(data, off, words)
+                    row = np.concatenate([row, np.searchsorted(first, np.arange(len(starts)), "right") - 1])
+                    h1, h2 = np.concatenate([h1, h[0]]), np.concatenate([h2, h[1]])
                 order = np.lexsort((h1, row))
                 new = np.ones(len(order), bool)
                 new[1:] = (h1[order][1:] != h1[order][:-1]) | (row[order][1:] != row[order][:-1])
@@ -84,9 +143,9 @@ def _spans(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").mapInArrow(run, "h1 long, h2 int, doc_id long")
 
 
-def _later(docs: DataFrame) -> DataFrame:
+def _later(docs: DataFrame, words: int = 0) -> DataFrame:
     """(doc_id, spans array of h1) with the spans of each document that a document of smaller doc_id holds too."""
-    spans = _spans(docs)
+    spans = _spans(docs, words)
     first = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least")
     hits = spans.join(first, ["h1", "h2"]).where("doc_id > least").select("doc_id", "h1").distinct()
     return materialize(hits.groupBy("doc_id").agg(F.collect_list("h1").alias("spans")), "spans")
@@ -105,9 +164,22 @@ def _cut(data: np.ndarray, begins: np.ndarray, starts: np.ndarray, stops: np.nda
     return np.cumsum(gone[:-1]) > 0, np.concatenate([begins, [len(data)]])
 
 
-def _cleaned(docs: DataFrame) -> DataFrame:
+def _cut_runs(keep: np.ndarray, starts: np.ndarray, stops: np.ndarray, h1: np.ndarray, later: np.ndarray) -> None:
+    """For one text: take the bytes of repeated runs of words out of keep, but not those of a run's first place in its own text."""
+    _, at, own = np.unique(h1, return_index=True, return_inverse=True)
+    late = np.isin(h1, later)
+    begins = np.where(late, starts, np.maximum(starts, stops[at[own]]))
+    bad = (late | (at[own] != np.arange(len(h1)))) & (begins < stops)
+    if bad.any():
+        gone = np.zeros(len(keep) + 1, np.int64)
+        np.add.at(gone, begins[bad], 1)
+        np.add.at(gone, stops[bad], -1)
+        keep &= np.cumsum(gone[:-1]) == 0
+
+
+def _cleaned(docs: DataFrame, words: int = 0) -> DataFrame:
     """For rows (doc_id, text): doc_id, kept (binary), n_bytes, n_removed, n_spans, n_sentences, n_removed_sentences."""
-    later = _later(docs)
+    later = _later(docs, words)
     release(docs.sparkSession)
     d = docs.join(later, "doc_id", "left").select("doc_id", "text", "spans")
     names = ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "n_sentences", "n_removed_sentences"]
@@ -118,16 +190,23 @@ def _cleaned(docs: DataFrame) -> DataFrame:
             for lo, hi, data, off in pieces(b.column(1)):
                 begins, first, starts, stops, h1, _ = sentence_spans(data, off)
                 own = np.searchsorted(starts, first)
+                if words:
+                    firsts, run_from, run_to, run_h, _ = word_runs(data, off, words)
                 rows = []
                 for i in range(hi - lo):
                     text = data[off[i] : off[i + 1]]
                     s = slice(own[i], own[i + 1])
                     late = spans[lo + i].values if spans[lo + i].is_valid else None
-                    gone, at = _cut(text, begins[first[i] : first[i + 1]] - off[i], starts[s] - first[i], stops[s] - first[i], h1[s], np.zeros(0, np.uint64) if late is None else late.to_numpy().view(np.uint64))
+                    late = np.zeros(0, np.uint64) if late is None else late.to_numpy().view(np.uint64)
+                    gone, at = _cut(text, begins[first[i] : first[i + 1]] - off[i], starts[s] - first[i], stops[s] - first[i], h1[s], late)
                     keep = np.ones(len(text), bool)
                     if gone.any():
                         keep = ~np.repeat(np.concatenate([[False], gone]), np.diff(np.concatenate([[0], at])))
-                    runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+                    if words and len(gone):
+                        r = slice(firsts[i], firsts[i + 1])
+                        _cut_runs(keep, run_from[r] - off[i], run_to[r] - off[i], run_h[r], late)
+                        gone = ~np.logical_or.reduceat(keep, at[:-1])
+                    runs = int((~keep[:1]).sum() + (keep[:-1] & ~keep[1:]).sum())
                     rows.append((text[keep].tobytes(), len(text), int((~keep).sum()), runs, len(gone), int(gone.sum())))
                 kept, *counts = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(kept, pa.binary()), *[pa.array(c, pa.int64()) for c in counts]], names)
@@ -135,17 +214,19 @@ def _cleaned(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, n_sentences long, n_removed_sentences long")
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = 0) -> DataFrame:
     """(doc_id, text) of every row of docs without the sentences that a span covers which isn't the first of its kind.
 
     The smallest doc_id that has a span keeps it, once. Rows that share a doc_id don't take from each other; those of null doc_id only
     lose what repeats within themselves. A null text comes back empty. A sentence goes with the white space behind it.
+    With `run`, no row keeps `run` words on end that a smaller doc_id has too, wherever they begin: of these, up to run // 2 may stay at
+    each end, and shorter runs of run // 2 + 1 words may go. Of what repeats within a row, the first stays.
     """
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return _cleaned(d).select("doc_id", F.col("kept").cast("string").alias("text"))
+    return _cleaned(d, run).select("doc_id", F.col("kept").cast("string").alias("text"))
 
 
-def repeats_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`remove_repeats` in figures: doc_id, n_bytes, n_removed, n_spans (runs of removed sentences), kept_sha256, n_sentences, n_removed_sentences."""
+def repeats_report(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = 0) -> DataFrame:
+    """`remove_repeats` in figures: doc_id, n_bytes, n_removed, n_spans (runs of removed text), kept_sha256, n_sentences, n_removed_sentences."""
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return _cleaned(d).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_sentences", "n_removed_sentences")
+    return _cleaned(d, run).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_sentences", "n_removed_sentences")

@@ -175,3 +175,26 @@ def test_components(spark):
             up[a] = up[b] = min(up[a], up[b])
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: v for k, v in up.items() if any(k in e and e[0] != e[1] for e in edges)}
+
+
+def test_passages_go_wherever_they_begin(spark):
+    from nestlake.llm import queries
+
+    rng = np.random.default_rng(8)
+    word = lambda n: ["".join(rng.choice(list("abcdefgh"), 9)) for _ in range(n)]
+    passage = word(sentences.RUN)
+    rows = [(1, " ".join(word(5) + passage + word(40)))]
+    rows += [(2 + k, " ".join(word(k) + [w.upper() for w in passage] + word(50 - k))) for k in range(sentences.RUN)]
+    rows += [(90, " ".join(["x"] * 200)), (91, " ".join(passage[:25])), (92, None), (93, " ".join([*passage, *word(9), *passage]) + " ")]
+    sf = "/tmp/checkpoints/passages-test"
+    spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(f"{sf}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op5_sentence_spans(spark, sf).collect()}
+    assert all(got[2 + k]["n_removed"] > 0 for k in range(sentences.RUN)) and got[1]["n_removed"] == got[91]["n_removed"] == 0
+    kept = {r["doc_id"]: r["text"].lower().split() for r in sentences.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), run=sentences.RUN).collect()}
+    for i, t in rows[1:-4]:
+        own, gone = t.lower().split(), len(t.split()) - len(kept[i])
+        assert sentences.RUN // 2 < gone <= sentences.RUN and set(own) - set(passage) <= set(kept[i])
+        assert got[i]["n_removed"] == 10 * gone and got[i]["n_spans"] == 1
+    assert sum(w not in passage for w in kept[93]) == 9 and len(kept[93]) <= 9 + 2 * 50 and 16 <= len(kept[90]) < 200
+    same = sentences.remove_repeats(spark.createDataFrame([(1, rows[-1][1])], "doc_id long, text string"), run=sentences.RUN).first()["text"].split()
+    assert same[:60] == rows[-1][1].split()[:60] and len(same) < 111 - 25
