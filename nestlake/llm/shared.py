@@ -18,10 +18,12 @@ _mine: list = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; LOCAL_CHECKPOINTS only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; LOCAL_CHECKPOINTS where that is unset and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that every executor reaches")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
     return f"file://{LOCAL_CHECKPOINTS}"
@@ -56,6 +58,17 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def quoted(names: list[str]) -> list:
+    """Columns of these names, whatever characters are in them."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def others(names: list[str], added: list[str]) -> list[str]:
+    """The names that are none of those added. An operator's own columns replace the input's of the same name, in any case of letters."""
+    own = {a.casefold() for a in added}
+    return [n for n in names if n.casefold() not in own]
+
+
 def row_tag(key: str = "doc_id", text: str = "text"):
     """Tells rows of one key with different texts apart; whole-row repeats share it."""
     return F.xxhash64(F.col(key), F.col(text))
