@@ -167,7 +167,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     ids_crc32 is the unsigned CRC-32 of its ids as little-endian unsigned 32-bit integers. An empty manifest gives no row.
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
-    m = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("part", "path", "base").repartition("part")
+    m = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("part", "path", "base")
+    m = m.repartition(max(1, manifest.count()))  # a task per file; without a number, adaptive execution puts all in one
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
     def read(batches):

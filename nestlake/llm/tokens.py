@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +16,13 @@ from .shared import worker_caches
 
 #: Characters that end a piece: no token of a tokenizer that drops white space reaches over one.
 SEPARATORS = " \n"
-#: Texts of more characters are encoded in chunks.
-HUGE = 65_536
-CHUNK, OVERLAP = 32_768, 256
+#: Texts of more characters are encoded in chunks of CHUNK that overlap.
+HUGE, CHUNK, OVERLAP = 8192, 4096, 128
 #: Pieces that a worker keeps in each of two generations, and their longest: some 250 MB at most.
 CACHE, CACHED_CHARS = 600_000, 40
-#: ASCII marks that always part from the letters before them.
-MARKS = tuple(".,;:!?")
+#: A word and the ASCII marks behind it. The letters are Latin ones that lower-casing turns into one letter each (the dotted capital
+#: I becomes a letter and a mark of its own, so it isn't among them), and that composing leaves alone.
+WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!#$%&*+,./:;=?@^_~-]*)")
 
 
 class Pieces(dict):
@@ -33,9 +35,19 @@ class Pieces(dict):
         self.tok.no_truncation()
         self.tok.no_padding()
         self.older: dict[str, bytes] = {}
-        self.lowers = self._ids_equal("Az\u00c9", "az\u00e9")
+        added = self.tok.get_added_tokens_decoder().values()
+        whole = not any(t.lstrip or t.rstrip or set(t.content) & set(SEPARATORS) for t in added)
+        #: Whether white space is dropped, so that texts may be cut there. Other tokenizers get whole texts.
+        self.drops = whole and all(self._same(t, t.replace("\n", " ").split(" ")) for t in ("ab  cd\n\n", " ab. 1 2\n!? x", "\n it's a \n", " ", "A b\nC"))
+        #: Whether marks part from Latin words, and whether capitals count as small letters.
+        self.parts = self.drops and self._same("abc.,", ["abc", ".,"]) and self._same("\u00e9b#!-", ["\u00e9b", "#!-"])
+        self.lowers = self.parts and self._same("AZ\u00c9\u0178", ["az\u00e9\u00ff"])
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
 
+    def _same(self, text: str, parts: list[str]) -> bool:
+        ids = lambda x: self.tok.encode(x, add_special_tokens=False).ids
+        return ids(text) == [i for x in parts for i in ids(x)]
+
     def __missing__(self, piece: str) -> bytes:
         if len(piece) > CACHED_CHARS:
             return self._ids(piece)
@@ -44,31 +56,35 @@ class Pieces(dict):
             self.clear()
         out = self.older.get(piece)
         if out is None:
-            out = self._parts(piece)
+            out = self._split(piece)
         self[piece] = out
         return out
 
-    def _parts(self, piece: str) -> bytes:
-        """A word with one mark behind it is two pieces, and a word in capitals one in small letters: they are met more often.
-
-        Splitting before an ASCII mark changes neither composed characters nor words; Latin letters have one small letter each.
-        """
-        if piece[-1:] in MARKS and piece[:-1].isalpha():
-            return self[piece[:-1]] + self[piece[-1]]
-        if self.lowers and piece.isalpha() and not piece.islower() and max(piece) <= "\u00ff":
-            return self[piece.lower()]
-        return self._ids(piece)
-
-    def _ids_equal(self, a: str, b: str) -> bool:
-        return self.tok.encode(a, add_special_tokens=False).ids == self.tok.encode(b, add_special_tokens=False).ids
+    def _split(self, piece: str) -> bytes:
+        """A word with marks behind it is two pieces, and a word with capitals one in small letters: they are met more often."""
+        m = WORD.fullmatch(piece) if self.parts else None
+        if m is None:
+            return self._ids(piece)
+        word, marks = m.groups()
+        if marks:
+            return self[word] + self[marks]
+        low = word.lower() if self.lowers else word
+        return self[low] if low != word else self._ids(word)
 
     def _ids(self, piece: str) -> bytes:
         return np.array(self.tok.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text whose tokenizer drops white space: those of its pieces, one after another."""
+        """The ids of a text: those of its pieces, one after another."""
+        if not self.drops:
+            return self._ids(text)
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
+    def units(self, text: str) -> tuple[list[bytes], list[int]]:
+        """The ids of each piece of a text, and where each piece begins."""
+        parts = text.replace("\n", " ").split(" ")
+        return [self[x] for x in parts], list(accumulate((len(x) + 1 for x in parts[:-1]), initial=0))
+
 
 _loaded: dict[str, Pieces] = {}
 worker_caches.append(_loaded)
@@ -81,7 +97,8 @@ def pieces_of(path: str) -> Pieces:
     return _loaded[path]
 
 
-Encoder = Callable[[str], tuple[list[int], list[tuple[int, int]]]]
+#: Gives the units of a text (tokens, or the ids of whole pieces) and where each begins, in ascending order.
+Encoder = Callable[[str], tuple[list, list[int]]]
 
 
 def after_separator(text: str, at: int) -> bool:
@@ -89,62 +106,61 @@ def after_separator(text: str, at: int) -> bool:
     return at == 0 or text[at - 1] in SEPARATORS
 
 
-def resync(encode: Encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, stable: Callable[[str, int], bool] = after_separator) -> Iterator[list[int]]:
-    """Lists of ids that joined are encode(text)'s, of which no call sees much more than a chunk.
+def resync(encode: Encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, stable: Callable[[str, int], bool] = after_separator) -> Iterator[list]:
+    """Lists of units that joined are encode(text)'s, of which no call sees much more than a chunk.
 
-    Two neighbouring chunks share `overlap` characters. They are spliced at a place there at which both have a token
+    Two neighbouring chunks share `overlap` characters. They are spliced at a place there at which both have a unit
     begin, and of which `stable` proves that what stands before it doesn't change what comes after. If there is none, the
     overlap doubles, up to the whole of the earlier chunk, and then the chunk itself: at worst one call sees the whole text.
     """
     begin, size = 0, chunk  # all before begin is done
-    end = min(len(text), begin + size)
-    ids, offsets = encode(text[begin:end])
+    base, first, end = 0, 0, min(len(text), chunk)  # of the chunk at hand: where it begins, its first unit that counts, its end
+    units, starts = encode(text[:end])
     while end < len(text):
-        starts = [begin + a for a, _ in offsets]
-        over, cut = overlap, None
+        over, cut, to = overlap, None, min(len(text), end + chunk)
         while cut is None:
             low = max(begin + 1, end - over)
-            to = min(len(text), end + chunk)
-            new_ids, new_offsets = encode(text[low:to])
-            new_starts = [low + a for a, _ in new_offsets]
-            known = set(new_starts)
-            first = bisect.bisect_left(starts, low)
-            cut = next(((i, p) for i in range(len(starts) - 1, first - 1, -1) if (p := starts[i]) in known and stable(text, p) and p > begin and (i == 0 or starts[i - 1] < p)), None)
+            new, new_starts = encode(text[low:to])
+            common = set(new_starts[: bisect.bisect_right(new_starts, end - low)])
+            for i in range(len(starts) - 1, max(first, bisect.bisect_left(starts, low - base)) - 1, -1):
+                p = base + starts[i]
+                if p - low in common and (i == first or starts[i - 1] < starts[i]) and stable(text, p):
+                    cut = i, p
+                    break
             if cut is None and low == begin + 1:
                 break
             over *= 2
         if cut is None:  # no place to splice: a longer chunk from the same beginning
             size *= 2
-            end = min(len(text), begin + size)
-            ids, offsets = encode(text[begin:end])
+            base, first, end = begin, 0, min(len(text), begin + size)
+            units, starts = encode(text[begin:end])
             continue
-        i, p = cut
-        yield ids[:i]
-        j = bisect.bisect_left(new_starts, p)
-        ids, offsets = new_ids[j:], [(low + a - p, low + b - p) for a, b in new_offsets[j:]]
-        begin, end, size = p, to, chunk
-    yield ids
+        yield units[first : cut[0]]
+        begin, size = cut[1], chunk
+        units, starts, base, first, end = new, new_starts, low, bisect.bisect_left(new_starts, begin - low), to
+    yield units[first:]
 
 
 def _library(pieces: Pieces) -> Encoder:
     def encode(text: str):
         e = pieces.tok.encode(text, add_special_tokens=False)
-        return e.ids, e.offsets
+        return e.ids, [a for a, _ in e.offsets]
 
     return encode
 
 
 def encode_text(pieces: Pieces, text: str, huge: int = HUGE) -> bytes:
-    """The ids of any text as bytes of pieces.dtype; a huge one comes by `resync`."""
-    if len(text) <= huge:
+    """The ids of any text as bytes of pieces.dtype. That of a huge one, if it may be cut at all, comes by `resync`."""
+    if len(text) <= huge or not pieces.drops:
         return pieces.encode(text)
-    return b"".join(np.array(x, pieces.dtype).tobytes() for x in resync(_library(pieces), text))
+    return b"".join(b"".join(x) for x in resync(pieces.units, text))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: its key, n_bytes (UTF-8), n_tokens and over_limit (more than `limit` tokens).
 
-    `tokenizer` is a file of the tokenizers library on every executor whose tokenizer drops white space. No special
+    `tokenizer` is a file of the tokenizers library on every executor. One that drops white space gets texts in pieces, and those
+    of over HUGE characters in overlapping chunks; any other gets whole texts. No special
     tokens are added; those inside texts count as the library counts them. A null text is empty and has no tokens; repeated
     rows, equal and null keys give a row each; other columns aren't read. Nothing is shuffled.
     """
