@@ -73,33 +73,44 @@ def format_chat(conversations: DataFrame, assistant: str = "assistant") -> DataF
     )
 
 
+def expand(formatted: DataFrame) -> DataFrame:
+    """One row per assistant turn of `format_chat`'s rows: conv_id, example (from 0), context_end, target (escaped, nothing but the reply).
+
+    Its context is the first context_end code points of the conversation's `formatted`; it is held by reference.
+    """
+    x = formatted.select("conv_id", "formatted", F.posexplode("examples").alias("example", "e"))
+    return x.select("conv_id", "example", F.col("e.context_end").alias("context_end"), _target(F.col("e")).alias("target"))
+
+
+def _target(e: Column) -> Column:
+    return F.substr(F.col("formatted"), (e.loss_start + 1).cast("int"), e.loss_len.cast("int"))
+
+
 def chat_examples(conversations: DataFrame, assistant: str = "assistant") -> DataFrame:
-    """One row per assistant turn, written out: conv_id, example, context, target (escaped, with nothing but the reply)."""
+    """`expand` with every prefix written out: conv_id, example, context, target."""
     x = format_chat(conversations, assistant).select("conv_id", "formatted", F.posexplode("examples").alias("example", "e"))
-    return x.select("conv_id", "example", F.expr("substring(formatted, 1, int(e.context_end))").alias("context"), F.expr("substring(formatted, int(e.loss_start) + 1, int(e.loss_len))").alias("target"))
+    return x.select("conv_id", "example", F.expr("substring(formatted, 1, int(e.context_end))").alias("context"), _target(F.col("e")).alias("target"))
 
 
-def read_chat(formatted: DataFrame) -> DataFrame:
-    """Read `format_chat`'s output back: conv_id, turns array<struct<role, text>>, loss_texts array<string>, both unescaped."""
-    parts = F.split("formatted", END.replace("/", "\\/"), -1)
-    parts = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    body = F.transform(parts, lambda s: F.substr(s, F.lit(len(HEAD) + 1)))
+def read_turns(formatted: Column) -> Column:
+    """array<struct<role, text>> of the turns in a string of `format_chat`, unescaped."""
+    parts = F.split(formatted, END.replace("/", "\\/"), -1)
+    body = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda s: F.substr(s, F.lit(len(HEAD) + 1)))
     at = lambda s: F.instr(s, COLON)
-    turn = lambda s: F.struct(unescape_role(F.substr(s, F.lit(1), at(s) - 1)).alias("role"), unescape(F.substr(s, at(s) + len(COLON))).alias("text"))
-    loss = lambda e: unescape(F.substr(F.col("formatted"), (e.loss_start + 1).cast("int"), e.loss_len.cast("int")))
-    return formatted.select("conv_id", "formatted", F.transform(body, turn).alias("turns"), F.transform("examples", loss).alias("loss_texts"))
+    return F.transform(body, lambda s: F.struct(unescape_role(F.substr(s, F.lit(1), at(s) - 1)).alias("role"), unescape(F.substr(s, at(s) + len(COLON))).alias("text")))
 
 
 def chat_digest(conversations: DataFrame, assistant: str = "assistant") -> DataFrame:
-    """What `read_chat` finds, as counts and digests for each conversation."""
-    r = read_chat(format_chat(conversations, assistant))
-    said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
-    loss = F.array_join("loss_texts", "")
-    return r.select(
-        "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(said, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
-    )
+    """Counts and digests of each conversation: its turns as read back from `formatted`, its loss text from the expanded examples.
+
+    Every conversation is expanded to a row per assistant turn, which carries its reply and the counts of the conversation, not the text before it;
+    one without such turns keeps one row without a reply.
+    """
+    said = F.array_join(F.transform(read_turns(F.col("formatted")), lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    f = format_chat(conversations, assistant)
+    f = f.select("conv_id", "formatted", "examples", F.size(read_turns(F.col("formatted"))).cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    x = f.select("conv_id", "n_turns", "turns_sha256", "formatted_chars", "formatted", F.posexplode_outer("examples").alias("example", "e"))
+    x = x.select("conv_id", "n_turns", "turns_sha256", "formatted_chars", "example", unescape(_target(F.col("e"))).alias("reply"))
+    replies = F.sort_array(F.collect_list(F.when(F.col("example").isNotNull(), F.struct("example", "reply"))))
+    g = x.groupBy("conv_id").agg(*[F.first(c).alias(c) for c in ("n_turns", "turns_sha256", "formatted_chars")], F.array_join(F.transform(replies, lambda r: r.reply), "").alias("loss"))
+    return g.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
