@@ -5,8 +5,9 @@ meet. Every string of LENGTH bytes (a window) has an anchor: its K bytes of leas
 equal anchors, so the windows of one anchor form a cell, and cells meet by the hash of their anchors:
 
 1. A cell that equals one of a document of smaller doc_id goes whole. If all cells of an anchor are equal, that settles them.
-2. Where cells of one anchor differ (at the ends of what repeats), the cells of the smallest doc_ids are laid side by side in an
-   enhanced suffix array. Its intervals of a common prefix of LENGTH or more are the groups of equal windows, with all occurrences.
+2. Where cells of one anchor differ (at the ends of what repeats), those that aren't gone are laid side by side in an enhanced suffix
+   array. A stack finds its intervals of a common prefix of LENGTH or more, which are the groups of repeats with all occurrences;
+   those that can't be extended to the left decide what goes.
 
 What tasks send each other is packed by part of the hash: a few bytes for each anchor.
 """
@@ -31,56 +32,88 @@ OPEN_BYTES = 3_000_000
 _U = np.uint64
 
 
-# ---- the enhanced suffix array of one machine ----
+# ---- enhanced suffix arrays ----
 
+#: Bytes that the first ranks of suffixes are made from: seven of nine bits each fill a whole number.
+FIRST = 7
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffixes of s (whole numbers) in order, by doubling prefixes."""
-    n = len(s)
-    if not n:
-        return np.zeros(0, np.int64)
-    rank, step = np.unique(s, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        second = np.full(n, -1, np.int64)
-        second[: n - step] = rank[step:]
-        order = np.lexsort((second, rank))
-        new = np.ones(n, np.int64)
-        new[0] = 0
-        new[1:] = (rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1])
-        rank = np.empty(n, np.int64)
+
+class SuffixArray:
+    """Suffixes of strings of bytes laid one after another, in order, with the length of the prefix that each shares with the one before.
+
+    Only the suffixes at `starts` are kept. Each ends with its string; an end sorts before any byte. Ranks of the first seven bytes
+    are made first; those of prefixes of twice the length come from pairs of ranks, until `depth` bytes are ordered (None: all).
+    """
+
+    def __init__(self, text: np.ndarray, sizes: np.ndarray, starts: np.ndarray, depth: int | None = None):
+        """text: all bytes; sizes: length of each string; starts: places in text."""
+        n = len(text) + len(sizes)
+        string = np.repeat(np.arange(len(sizes)), sizes)
+        most = int(sizes.max(initial=0))
+        depth = most if depth is None else min(depth, most)
+        s = np.zeros(n + FIRST, np.int64)
+        s[np.arange(len(text)) + string] = text.astype(np.int64) + 1
+        key = np.zeros(n, np.int64)
+        for i in range(FIRST):
+            key = key << 9 | s[i : n + i]
+        ranks, step = [self._ranked(key)], FIRST
+        while step < depth:
+            key = ranks[-1] * (n + 1)
+            key[: n - step] += ranks[-1][step:] + 1
+            ranks.append(self._ranked(key))
+            step *= 2
+        at = starts + string[starts] if len(starts) else starts
+        by = np.argsort(ranks[-1][at], kind="stable")
+        #: Numbers of the starts in order of their suffixes.
+        self.order = by
+        ends = np.cumsum(sizes + 1) - 1
+        rest = (ends[string[starts]] - at)[by] if len(starts) else starts
+        p, q, h = at[by][:-1], at[by][1:], np.zeros(max(0, len(at) - 1), np.int64)
+        for r in reversed(ranks):
+            step //= 2 if r is not ranks[-1] else 1
+            padded = np.append(r, -1)
+            h += step * ((padded[np.minimum(p + h, n)] == padded[np.minimum(q + h, n)]) & (p + h < n) & (q + h < n))
+        for _ in range(FIRST - 1):
+            h += s[np.minimum(p + h, n)] == s[np.minimum(q + h, n)]
+        #: For each place in order, how many bytes its suffix shares with the one before; 0 for the first.
+        self.prefixes = np.minimum(np.minimum(h, rest[:-1]), rest[1:]) if len(at) else h
+        self.prefixes = np.concatenate([np.zeros(min(1, len(at)), np.int64), self.prefixes])
+
+    @staticmethod
+    def _ranked(key: np.ndarray) -> np.ndarray:
+        order = np.argsort(key)
+        new = np.zeros(len(key), np.int64)
+        new[1:] = key[order][1:] != key[order][:-1]
+        rank = np.empty(len(key), np.int64)
         rank[order] = np.cumsum(new)
-        step *= 2
-        if rank.max() == n - 1 or step >= n:
-            return order
-
-
-def common_prefixes(s: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """For each place in order, how long the prefix is that its suffix shares with the one before; 0 for the first."""
-    at = np.empty(len(s), np.int64)
-    at[order] = np.arange(len(s))
-    out, h = np.zeros(len(s), np.int64), 0
-    for i in range(len(s)):
-        if at[i]:
-            j = order[at[i] - 1]
-            while i + h < len(s) and j + h < len(s) and s[i + h] == s[j + h]:
-                h += 1
-            out[at[i]] = h
-            h = max(0, h - 1)
-        else:
-            h = 0
-    return out
+        return rank
+
 
+def interval_tree(prefixes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """length, from, to of each interval of suffixes [from, to) whose common prefix has `least` or more, inner ones first.
 
-def interval_tree(prefixes: np.ndarray, least: int):
-    """(length, from, to) of each interval of suffixes [from, to) whose common prefix has `least` or more, inner ones first."""
+    A stack holds the intervals that are open. Suffixes that share less than `least` with the one before close all, so they're passed over.
+    """
     stack: list[tuple[int, int]] = []
-    for i, h in enumerate([*prefixes.tolist(), 0]):
+    out: list[tuple[int, int, int]] = []
+    seen = np.flatnonzero((prefixes >= least) | np.append(prefixes[:-1] >= least, False) | np.concatenate([[False], prefixes[:-1] >= least]))
+    for i, h in zip([*seen.tolist(), len(prefixes)], [*prefixes[seen].tolist(), 0], strict=True):
         begin = i - 1
         while stack and stack[-1][0] > h:
             length, begin = stack.pop()
-            yield length, begin, i
+            out.append((length, begin, i))
         if h >= least and (not stack or stack[-1][0] < h):
             stack.append((h, begin))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    length, a, b = np.array(out, np.int64).T
+    return length, a, b
+
+
+def diverse(left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which intervals [a, b) have suffixes with different bytes before them; a negative one differs from all."""
+    change = np.concatenate([[0], np.cumsum((left[1:] != left[:-1]) | (left[1:] < 0))])
+    return (change[b - 1] > change[a]) | (left[a] < 0) if len(left) else np.zeros(0, bool)
 
 
 def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[bytes, list[tuple[int, int]]]]:
@@ -88,31 +121,52 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[bytes, list[tu
     all its occurrences, with all of them as (text, place). For as much text as one machine holds.
 
     An interval's string can't grow to the right, as its suffixes then part; it can't grow to the left if two occurrences
-    have different bytes before them, or one begins its text. Each text ends with a mark of its own.
+    have different bytes before them, or one begins its text.
     """
-    ends = [np.array([256 + i]) for i in range(len(texts))]
-    s = np.concatenate([x for t, e in zip(texts, ends, strict=True) for x in (np.frombuffer(t, np.uint8).astype(np.int64), e)]) if texts else np.zeros(0, np.int64)
-    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-    order = suffix_array(s)
-    left = np.where(order > 0, s[order - 1], 256) if len(s) else order
+    sizes = np.array([len(t) for t in texts], np.int64)
+    text = np.frombuffer(b"".join(texts), np.uint8)
+    own = np.repeat(np.arange(len(texts)), sizes)
+    begins = np.cumsum(sizes) - sizes
+    array = SuffixArray(text, sizes, np.arange(len(text)))
+    left = np.where(np.arange(len(text)) == begins[own], -1, np.append(text[-1:], text[:-1]).astype(np.int64))[array.order] if len(text) else array.order
+    length, a, b = interval_tree(array.prefixes, least)
     out = []
-    for length, a, b in interval_tree(common_prefixes(s, order), least):
-        if len(np.unique(left[a:b])) > 1 or left[a] >= 256:
-            own = np.searchsorted(starts, order[a:b], "right") - 1
-            where = sorted(zip(own.tolist(), (order[a:b] - starts[own]).tolist(), strict=True))
-            out.append((s[order[a] : order[a] + length].astype(np.uint8).tobytes(), where))
+    for h, i, j in zip(*(x[diverse(left, a, b)].tolist() for x in (length, a, b)), strict=True):
+        at = np.sort(array.order[i:j])
+        out.append((text[at[0] : at[0] + h].tobytes(), list(zip(own[at].tolist(), (at - begins[own[at]]).tolist(), strict=True))))
     return sorted(out)
 
 
-def equal_windows(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of bytes in order, and where in that order the outermost intervals of whole common rows begin."""
-    wide = np.zeros((len(windows), -(-windows.shape[1] // 8) * 8), np.uint8)
-    wide[:, : windows.shape[1]] = windows
-    words = wide.view(">u8").astype(np.uint64)
-    order = np.lexsort(words.T[::-1])
-    new = np.ones(len(order), bool)
-    new[1:] = (words[order[1:]] != words[order[:-1]]).any(1)
-    return order, np.flatnonzero(new)
+def repeat_groups(text: np.ndarray, sizes: np.ndarray, counts: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of cells laid one after another, which windows hold a string of LENGTH bytes that a cell of a smaller doc has too.
+
+    sizes: bytes of each cell; counts: its windows, one from each of its first bytes on; doc: its document. The cells of an anchor are all
+    here, so equal windows are. Each interval of the suffix array with a common prefix of LENGTH or more is a group of repeats with all its
+    occurrences. Those with different bytes to the left, or with the beginning of a cell among them, are maximal: what others
+    cover is covered by the maximal one that begins before them in the same cells.
+    """
+    begin = np.cumsum(sizes) - sizes
+    cell = np.repeat(np.arange(len(counts)), counts)
+    within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = begin[cell] + within
+    array = SuffixArray(text, sizes, start)
+    own = array.order
+    left = np.where(within == 0, -1, text[start - 1].astype(np.int64))[own] if len(own) else own
+    length, a, b = interval_tree(array.prefixes, LENGTH)
+    maximal = diverse(left, a, b)
+    length, a, b = length[maximal], a[maximal], b[maximal]
+    gone = np.zeros(len(own) + 1, np.int64)
+    if len(a):
+        d = doc[cell][own]
+        # pairs of places for reduceat; every second result is that of an interval
+        least = np.minimum.reduceat(np.append(d, np.iinfo(np.int64).max), np.column_stack([a, b]).ravel())[::2]
+        size = b - a
+        place = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        late = d[place] > np.repeat(least, size)
+        first, more = own[place[late]], np.repeat(length, size)[late] - LENGTH + 1
+        np.add.at(gone, first, 1)
+        np.add.at(gone, first + more, -1)
+    return np.cumsum(gone[:-1]) > 0
 
 
 # ---- anchors and cells ----
@@ -290,15 +344,8 @@ def _opened(docs: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
             got.append((ordinal.astype(np.int64) + base, at.astype(np.int64), count.astype(np.int64), text, ids, tags))
             base += len(ids)
         row, at, count, text, ids, tags = (np.concatenate([x[i] for x in got]) for i in range(6))
-        size = count - 1 + LENGTH
-        begin = np.cumsum(size) - size
+        gone = repeat_groups(text, count - 1 + LENGTH, count, ids[row])
         within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        start = np.repeat(begin, count) + within
-        order, groups = equal_windows(np.lib.stride_tricks.sliding_window_view(text, LENGTH)[start])
-        doc = np.repeat(ids[row], count)
-        least = np.minimum.reduceat(doc[order], groups)
-        gone = np.zeros(len(order), bool)
-        gone[order] = np.repeat(least, np.diff(np.append(groups, len(order)))) < doc[order]
         pick = np.flatnonzero(gone)
         cell = np.repeat(np.arange(len(row)), count)[pick]
         new = np.ones(len(pick), bool)
