@@ -1,8 +1,10 @@
 """Language identification, tokens, files, neighbours, chat, mixing, decontamination and the pipeline."""
 
 import hashlib
+import math
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -108,11 +110,57 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.language_report(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_many_languages_by_several_models(spark):
+    rows, words = lang_rows()
+    df = spark.createDataFrame([*rows, (1000, None, "en"), (1001, "12", None), (1002, "", "fr"), (1003, "the water " * 40_000, None), (5, rows[5][1], "de"), (None, "été déjà", None)], "doc_id long, text string, lang string")
+    df = df.selectExpr("*", "'x' as langs", "2 as Score", "3 as lang_pred", "4 as `a.b`")
+    train = df.where(~langid.held_out())
+    one = langid.identify(df, langid.learn(train))
+    many = langid.identify(df, langid.learn(train, group=1))
+    assert one.columns == ["doc_id", "text", "lang", "a.b", "lang_pred", "score", "langs"] == many.columns
+    a, b = (sorted((str(r["doc_id"]), str(r["text"])[:50], r["lang_pred"]) for r in x.collect()) for x in (one, many))
+    assert len(a) == len(rows) + 6 and sum(x != y for x, y in zip(a, b, strict=True)) <= 0.02 * len(a)
+    assert ("1003", "the water " * 5, "en") in a and ("None", "été déjà", "fr") in b and ("1001", "12", "und") in b
+    kept = langid.keep_identified(df)
+    assert kept.columns == df.columns and kept.count() == len(rows) + 3
+    assert langid.language_report(df.where("false")).count() == 0
+
+
+def plain_mixture(score, rounds=400):
+    """Proportions of all subsets of languages by long EM, and the subset of best penalised likelihood."""
+    from itertools import combinations
+
+    langs, n = score.shape
+    best = None
+    for size in range(1, langs + 1):
+        for own in combinations(range(langs), size):
+            p, w = np.exp(score[list(own)]), np.full(size, 1 / size)
+            for _ in range(rounds):
+                q = p * w[:, None]
+                w = (q / q.sum(0)).mean(1)
+            fit = np.log((p * w[:, None]).sum(0)).sum() - langid.WEIGHT / 2 * np.log(n) * (size - 1)
+            if best is None or fit > best[0]:
+                best = fit, own, w
+    return best
+
+
+def test_mixtures_against_all_subsets():
+    rng = np.random.default_rng(9)
+    for _ in range(12):
+        n, parts = int(rng.integers(80, 300)), rng.choice([0.0, 0.35, 0.65], 4)
+        parts = parts / parts.sum() if parts.sum() else np.array([1.0, 0, 0, 0])
+        truth = rng.choice(4, n, p=parts)
+        score = rng.normal(-6, 1, (4, n)) + 5 * (np.arange(4)[:, None] == truth)
+        fit, own, w = plain_mixture(score)
+        share, _, got = langid.mixtures(score.astype(np.float32), np.zeros(n, np.int64), 1, True)
+        assert tuple(np.flatnonzero(share[0])) == own and np.abs(share[0][list(own)] - w).max() < 0.02 and abs(got[0] - fit) < 0.5
+
+
 def test_mixtures_by_expectation_maximisation():
     rng = np.random.default_rng(5)
     score = np.log(np.where(rng.random((1, 400)) < 0.7, [[0.9], [0.1], [0.01]], [[0.1], [0.9], [0.01]]))
-    share, _ = langid.mixtures(score.astype(np.float32), np.zeros(400, np.int64), 1)
-    assert share[0, 2] == 0 and abs(share[0].sum() - 1) < 1e-6 and 0.5 < share[0, 0] < 0.95
+    share, _, fit = langid.mixtures(score.astype(np.float32), np.zeros(400, np.int64), 1, True)
+    assert fit[0] < 0 and share[0, 2] == 0 and abs(share[0].sum() - 1) < 1e-6 and 0.5 < share[0, 0] < 0.95
 
 
 def test_chat(spark):
@@ -179,12 +227,51 @@ def test_mixing(spark):
     assert mixing.pfair_mix(df.where("false")).count() == 0
 
 
-def test_periods_deviate_by_less_than_a_block():
-    share = mixing.parts({"a": 5, "b": 3.3, "c": 1, "d": 0.01}, 200)
-    order, p = mixing.one_period(share), sum(share.values())
-    for n in range(1, p + 1):
-        for k, w in share.items():
-            assert abs(order[:n].count(k) - n * w / p) < 1
+def test_sources_stay_within_a_block_of_their_exact_weights():
+    weights = {"a": 0.33349, "b": 0.66646, "t": 0.00005}
+    order, mixed = mixing.schedule({"a": 33349, "b": 66646, "t": 5}, weights)
+    assert len(order) == 100_000 and mixed >= 99_998
+    for k, w in weights.items():
+        had = np.cumsum(np.array(order) == k)
+        assert np.abs(had - np.arange(1, len(order) + 1) * w).max() < 1
+        assert had[-1] == round(w * 100_000)
+
+
+def plain_schedule(blocks, weights):
+    """Earliest deadline first, looking at every source at every slot."""
+    left, out = {k: n for k, n in blocks.items() if n}, []
+    while left:
+        total, t, had = sum(weights[k] for k in left), 0, dict.fromkeys(left, 0)
+        while all(left.values()):
+            w = {k: Fraction(weights[k]) / total for k in left}
+            free = [k for k in left if math.floor(had[k] / w[k]) <= t]
+            k = min(free, key=lambda k: (math.ceil((had[k] + 1) / w[k]), -w[k], k))
+            out.append(k)
+            had[k], left[k], t = had[k] + 1, left[k] - 1, t + 1
+        left = {k: n for k, n in left.items() if n}
+    return out
+
+
+def test_schedules_against_brute_force():
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        names = list("abcdef")[: rng.integers(1, 7)]
+        weights = {k: Fraction(int(rng.integers(1, 40)), int(rng.integers(1, 9))) for k in names}
+        blocks = {k: int(rng.integers(0, 30)) for k in names}
+        assert mixing.schedule(blocks, weights)[0] == plain_schedule(blocks, weights)
+
+
+def test_mixing_of_odd_tables(spark):
+    rows = [(i % 7 or None, "abcdefgh"[i % 8], i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n int").selectExpr("*", "'u' as Slot", "'v' as mixed", "'w' as `a.b`", "1 as __nth")
+    got = mixing.pfair_mix(df, block=4)
+    assert got.columns == ["doc_id", "source", "n", "a.b", "__nth", "block_no", "slot", "place", "mixed"]
+    assert sorted(r["n"] for r in got.collect()) == list(range(400)) and len({r["place"] for r in got.collect()}) == 400
+    assert mixing.in_order(df).columns == df.columns and mixing.in_order(df).count() == 400
+    few = mixing.pfair_mix(df, block=1, own_sources=3, most_blocks=50).collect()
+    assert sorted(r["n"] for r in few) == list(range(400)) and len({r["place"] for r in few}) == 400 and max(r["slot"] for r in few) < 60
+    with pytest.raises(ValueError):
+        mixing.pfair_mix(df, {"a": 0})
 
 
 def test_pipeline(spark, tok):

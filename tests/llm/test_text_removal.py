@@ -124,6 +124,29 @@ def test_maximal_repeats():
         assert suffixes.maximal_repeats(texts, 2) == sorted(want)
 
 
+def test_repeat_groups():
+    rng = np.random.default_rng(11)
+    n = suffixes.LENGTH
+    for _ in range(40):
+        base = bytes(rng.integers(0, 3, 90, dtype=np.uint8))
+        counts = rng.integers(1, 27, 12)
+        cells = []
+        for c in counts.tolist():
+            x = bytearray(base[: c + n - 1])
+            if rng.random() < 0.7:
+                x[int(rng.integers(0, len(x)))] = int(rng.integers(0, 3))
+            cells.append(bytes(x))
+        doc = rng.integers(0, 6, 12)
+        got = suffixes.repeat_groups(np.frombuffer(b"".join(cells), np.uint8), np.array([len(x) for x in cells]), counts, doc)
+        least = {}
+        for x, c, d in zip(cells, counts, doc, strict=True):
+            for i in range(c):
+                least[x[i : i + n]] = min(least.get(x[i : i + n], d), d)
+        want = [least[x[i : i + n]] < d for x, c, d in zip(cells, counts, doc, strict=True) for i in range(c)]
+        # what a maximal group covers may be marked by a longer run of windows, each of which repeats as well
+        assert got.tolist() == want
+
+
 def linked(rows, words, percent):
     low = str.maketrans({c: c + 32 for c in range(65, 91)})
     sets = []
