@@ -27,8 +27,8 @@ LENGTH, K = 50, 24
 #: Bytes of text whose anchors a task packs at once; anchors that meet in one group, about.
 PACK_BYTES, GROUP_ANCHORS = 12_000_000, 1_000_000
 LEAST_PARTS = 64
-#: Bytes of text in which a task looks at open cells at once.
-OPEN_BYTES = 3_000_000
+#: Bytes of text in which a task looks at open cells at once; bytes of cells of one suffix array, about.
+OPEN_BYTES, ARRAY_BYTES = 3_000_000, 1_500_000
 _U = np.uint64
 
 
@@ -51,15 +51,17 @@ class SuffixArray:
         string = np.repeat(np.arange(len(sizes)), sizes)
         most = int(sizes.max(initial=0))
         depth = most if depth is None else min(depth, most)
-        s = np.zeros(n + FIRST, np.int64)
-        s[np.arange(len(text)) + string] = text.astype(np.int64) + 1
+        s = np.zeros(n + FIRST, np.int16)
+        s[np.arange(len(text)) + string] = text.astype(np.int16) + 1
         key = np.zeros(n, np.int64)
         for i in range(FIRST):
-            key = key << 9 | s[i : n + i]
+            key <<= 9
+            key |= s[i : n + i]
         ranks, step = [self._ranked(key)], FIRST
         while step < depth:
-            key = ranks[-1] * (n + 1)
-            key[: n - step] += ranks[-1][step:] + 1
+            key = ranks[-1] * np.int64(n + 1)
+            key[: n - step] += ranks[-1][step:]
+            key[: n - step] += 1
             ranks.append(self._ranked(key))
             step *= 2
         at = starts + string[starts] if len(starts) else starts
@@ -71,7 +73,7 @@ class SuffixArray:
         p, q, h = at[by][:-1], at[by][1:], np.zeros(max(0, len(at) - 1), np.int64)
         for r in reversed(ranks):
             step //= 2 if r is not ranks[-1] else 1
-            padded = np.append(r, -1)
+            padded = np.append(r, np.int32(-1))
             h += step * ((padded[np.minimum(p + h, n)] == padded[np.minimum(q + h, n)]) & (p + h < n) & (q + h < n))
         for _ in range(FIRST - 1):
             h += s[np.minimum(p + h, n)] == s[np.minimum(q + h, n)]
@@ -82,10 +84,9 @@ class SuffixArray:
     @staticmethod
     def _ranked(key: np.ndarray) -> np.ndarray:
         order = np.argsort(key)
-        new = np.zeros(len(key), np.int64)
-        new[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(new)
+        key = key[order]
+        rank = np.empty(len(key), np.int32)
+        rank[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]), dtype=np.int32)
         return rank
 
 
@@ -249,7 +250,7 @@ def _marks(doc: np.ndarray, tag: np.ndarray, mark: np.ndarray):
 
 MARKS = "doc_id long, tag long, marks array<long>"
 _CELLS = ["<u4", "u1", "<u4", "<u4", "<u4", "u1", "<i8", "<i8"]
-_WINDOWS = ["<u4", "<u4", "u1", "u1", "<i8", "<i8"]
+_WINDOWS = ["<u2", "<u4", "<u4", "u1", "u1", "<i8", "<i8"]
 
 
 def _settled(docs: DataFrame, parts: int) -> DataFrame:
@@ -334,26 +335,43 @@ def _opened(docs: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
                     docs_of, ordinal = np.unique(doc[rows], return_inverse=True)
                     size = count[rows] - 1 + LENGTH
                     text = data[np.repeat(first[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                    out.append((part, _pack([ordinal.astype("<u4"), at[rows].astype("<u4"), count[rows].astype(np.uint8), text, ids[lo:hi][docs_of].astype("<i8"), tags[lo:hi][docs_of].astype("<i8")])))
+                    out.append((part, _pack([(h[rows] >> _U(48)).astype("<u2"), ordinal.astype("<u4"), at[rows].astype("<u4"), count[rows].astype(np.uint8), text, ids[lo:hi][docs_of].astype("<i8"), tags[lo:hi][docs_of].astype("<i8")])))
                 yield pa.record_batch([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["part", "blob"])
 
     def settle(table: pa.Table) -> pa.Table:
         got, base = [], 0
         for blob in table.column("blob").to_pylist():
-            ordinal, at, count, text, ids, tags = _unpack(blob, _WINDOWS)
-            got.append((ordinal.astype(np.int64) + base, at.astype(np.int64), count.astype(np.int64), text, ids, tags))
+            some, ordinal, at, count, text, ids, tags = _unpack(blob, _WINDOWS)
+            got.append((some, ordinal.astype(np.int64) + base, at.astype(np.int64), count.astype(np.int64), text, ids, tags))
             base += len(ids)
-        row, at, count, text, ids, tags = (np.concatenate([x[i] for x in got]) for i in range(6))
-        gone = repeat_groups(text, count - 1 + LENGTH, count, ids[row])
-        within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        pick = np.flatnonzero(gone)
-        cell = np.repeat(np.arange(len(row)), count)[pick]
+        some, row, at, count, text, ids, tags = (np.concatenate([x[i] for x in got]) for i in range(7))
+        del got
+        size = count - 1 + LENGTH
+        begin = np.cumsum(size) - size
+        order = np.argsort(some, kind="stable")  # cells of one anchor have the same bits of its hash
+        edges = np.flatnonzero(np.diff(some[order], prepend=-1))
+        total = np.cumsum(size[order])
+        found, i = [], 0
+        while i < len(order):
+            fits = edges[(edges > i) & (total[np.maximum(edges - 1, 0)] - total[i] + size[order[i]] <= ARRAY_BYTES)]
+            later = edges[edges > i]
+            j = int(fits[-1] if len(fits) else later[0]) if len(later) and total[-1] - total[i] + size[order[i]] > ARRAY_BYTES else len(order)
+            found.append(removed(order[i:j], row, at, count, size, begin, text, ids))
+            i = j
+        cell, first, n = (np.concatenate([x[i] for x in found]) for i in range(3))
+        return _marks(ids[row[cell]], tags[row[cell]], ((at[cell] + first) << 8) + 2 * n)
+
+    def removed(own, row, at, count, size, begin, text, ids):
+        """Runs of windows to remove of the cells `own`: cell, first window within it, windows."""
+        count, size = count[own], size[own]
+        bytes_ = text[np.repeat(begin[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        pick = np.flatnonzero(repeat_groups(bytes_, size, count, ids[row[own]]))
+        cell = np.repeat(np.arange(len(own)), count)
+        within = np.arange(len(cell)) - np.repeat(np.cumsum(count) - count, count)
         new = np.ones(len(pick), bool)
-        new[1:] = (pick[1:] != pick[:-1] + 1) | (cell[1:] != cell[:-1])
+        new[1:] = (pick[1:] != pick[:-1] + 1) | (cell[pick][1:] != cell[pick][:-1])
         first = np.flatnonzero(new)
-        n = np.diff(np.append(first, len(pick)))
-        cell, where = cell[first], within[pick[first]]
-        return _marks(ids[row[cell]], tags[row[cell]], ((at[cell] + where) << 8) + 2 * n)
+        return own[cell[pick[first]]], within[pick[first]], np.diff(np.append(first, len(pick)))
 
     open_ = marks.select("doc_id", "tag", F.filter("marks", lambda x: x.bitwiseAND(1) == 1).alias("marks")).where(F.size("marks") > 0)
     d = docs.join(open_, ["doc_id", "tag"]).select("doc_id", "tag", "text", "marks").dropDuplicates(["doc_id", "tag"])
