@@ -7,12 +7,16 @@ query's k-th best can be are dropped; the rest are computed again from the origi
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import materialize, quoted
+
 #: Bytes of query vectors that one pass broadcasts; further queries take further passes over the candidates.
 PASS_BYTES = 8 << 20
 #: Candidates and queries of one tile; survivors that are computed at once.
@@ -42,23 +46,31 @@ def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of rows, summed from the first component to the last."""
+    """Euclidean distances of rows, summed from the first component to the last. Where squares leave the range of doubles, they're scaled."""
     total = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        d = a[:, j] - b[:, j]
-        total += d * d
-    return np.sqrt(total)
+    with np.errstate(over="ignore"):
+        for j in range(a.shape[1]):
+            d = a[:, j] - b[:, j]
+            total += d * d
+    odd = np.flatnonzero(~np.isfinite(total))
+    out = np.sqrt(total)
+    if len(odd):
+        d = np.abs(a[odd] / 4 - b[odd] / 4)
+        most = d.max(1)
+        with np.errstate(over="ignore"):
+            out[odd] = most * np.sqrt(((d / most[:, None]) ** 2).sum(1)) * 4
+    return out
 
 
 class Nearest:
-    """The k nearest candidates so far of each query, by (distance, id)."""
+    """The k nearest candidates so far of each query, by (distance, id): a heap for each, with the worst on top."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
         self.ids, self.x, self.k = ids, x, k
         self.q, self.step, self.sq, self.rest = rounded(x)
         self.q = self.q.astype(np.float32)  # products of int8 steps are whole numbers that float32 holds exactly for 1000 parts
-        self.best = np.full((len(ids), k), np.inf)
-        self.which = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
+        self.limit = np.full(len(ids), np.inf)
 
     def see(self, ids: np.ndarray, x: np.ndarray) -> None:
         for at in range(0, len(ids), TILE):
@@ -68,33 +80,36 @@ class Nearest:
     def _tile(self, own: slice, ids: np.ndarray, x: np.ndarray) -> None:
         q, step, sq, rest = rounded(x)
         products = self.q[own] @ q.astype(np.float32).T if x.shape[1] <= 1000 else self.q[own].astype(np.float64) @ q.astype(np.float64).T
-        near = np.sqrt(np.maximum(self.sq[own][:, None] + sq - 2.0 * (self.step[own][:, None] * step) * products, 0.0))
-        slack = (self.rest[own][:, None] + rest) * (1 + 1e-9) + 1e-6 * (np.sqrt(self.sq[own])[:, None] + np.sqrt(sq))  # the second part is for the arithmetic itself
-        other = self.ids[own][:, None] != ids
-        most = np.where(other, near + slack, np.inf)
-        limit = self.best[own][:, -1]
-        if len(ids) > self.k:
-            limit = np.minimum(limit, np.partition(most, self.k - 1, axis=1)[:, self.k - 1])
-        qi, ci = np.nonzero((near - slack <= limit[:, None]) & other)
+        with np.errstate(over="ignore", invalid="ignore"):  # a bound that isn't a number keeps its pair
+            near = np.sqrt(np.maximum(self.sq[own][:, None] + sq - 2.0 * (self.step[own][:, None] * step) * products, 0.0))
+            slack = (self.rest[own][:, None] + rest) * (1 + 1e-9) + 1e-6 * (np.sqrt(self.sq[own])[:, None] + np.sqrt(sq))  # the second part is for the arithmetic itself
+            other = self.ids[own][:, None] != ids
+            limit = self.limit[own]
+            if len(ids) > self.k:
+                most = np.where(other, near + slack, np.inf)
+                limit = np.fmin(limit, np.partition(np.where(np.isnan(most), np.inf, most), self.k - 1, axis=1)[:, self.k - 1])
+            qi, ci = np.nonzero(~(near - slack > limit[:, None]) & other)
         for at in range(0, len(qi), EXACT):
             a, b = qi[at : at + EXACT] + own.start, ci[at : at + EXACT]
             self._merge(a, ids[b], distances(self.x[a], x[b]))
 
     def _merge(self, q: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
-        """Merge new pairs with the lists of their queries."""
-        sure = (d < self.best[q, -1]) | ((d == self.best[q, -1]) & (ids < self.which[q, -1]))
-        q, ids, d = q[sure], ids[sure], d[sure]
-        if not len(q):
-            return
-        met = np.unique(q)
-        q = np.concatenate([q, np.repeat(met, self.k)])
-        ids, d = np.concatenate([ids, self.which[met].ravel()]), np.concatenate([d, self.best[met].ravel()])
-        order = np.lexsort((ids, d, q))
-        q, ids, d = q[order], ids[order], d[order]
-        place = np.arange(len(q)) - np.searchsorted(q, q)
-        kept = place < self.k
-        self.best[q[kept], place[kept]] = d[kept]
-        self.which[q[kept], place[kept]] = ids[kept]
+        """Merge new pairs with the heaps of their queries."""
+        sure = d <= self.limit[q]
+        for i, j, x in zip(q[sure].tolist(), ids[sure].tolist(), d[sure].tolist(), strict=True):
+            heap = self.heaps[i]
+            if len(heap) < self.k:
+                heapq.heappush(heap, (-x, -j))
+            elif (-x, -j) > heap[0]:
+                heapq.heapreplace(heap, (-x, -j))
+            if len(heap) == self.k:
+                self.limit[i] = -heap[0][0]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, candidate and distance of what is held."""
+        rows = [(i, -j, -x) for i, heap in zip(self.ids.tolist(), self.heaps, strict=True) for x, j in heap]
+        q, c, d = zip(*rows, strict=True) if rows else ((), (), ())
+        return np.array(q, np.int64), np.array(c, np.int64), np.array(d, np.float64)
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -104,14 +119,16 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, key: str = "
     hold null or non-finite parts, and rows of null key, take no part; vectors only meet those of as many components.
     Fewer candidates than k are all returned; repeated rows are candidates of their own. A key among the queries counts once,
     with its least vector. Each pass broadcasts about `pass_bytes` of queries and reads the candidates once; a task
-    sends on no more than k pairs for each query. Other columns aren't read.
+    sends on no more than k pairs for each query. With several passes each one's pairs are written to the shared folder and its queries
+    dropped before the next, so the driver holds one pass. Other columns aren't read.
     """
     spark = queries.sparkSession
-    q = queries.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("embedding")).where("vec_id is not null and embedding is not null")
+    own, v = quoted([key, vector])
+    q = queries.select(own.cast("long").alias("vec_id"), v.alias("embedding")).where("vec_id is not null and embedding is not null")
     q = q.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     size = q.agg(F.sum(F.size("embedding")).alias("n")).first()["n"] or 0
     passes = max(1, -(-size * 8 // pass_bytes))
-    c = candidates.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("embedding"))
+    c = candidates.select(own.cast("long").alias("vec_id"), v.alias("embedding"))
     parts = None
     for i in range(passes):
         block = (q if passes == 1 else q.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i)).toArrow().combine_chunks()
@@ -124,12 +141,13 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, key: str = "
                 for dim, (ids, x) in valid(b.column(0), b.column(1)).items():
                     if dim in lists and len(ids):
                         lists[dim].see(ids, x)
-            for found in lists.values():
-                which, best = found.which.ravel(), found.best.ravel()
-                there = np.isfinite(best)
-                yield pa.record_batch([pa.array(np.repeat(found.ids, k)[there]), pa.array(which[there]), pa.array(best[there])], ["query_id", "vec_id", "score"])
+            for near in lists.values():
+                yield pa.record_batch([pa.array(x) for x in near.found()], ["query_id", "vec_id", "score"])
 
         part = c.mapInArrow(search, "query_id long, vec_id long, score double")
+        if passes > 1:
+            part = materialize(part, "nearest")
+            shared.destroy()
         parts = part if parts is None else parts.unionByName(part)
     by = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = parts.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
