@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, mix, pieces, prefix_hash, span_hash
+from .shared import materialize, mix, pieces, prefix_hash, quoted, span_hash
 
 SYMBOLS, CHUNKS, MOST_ERRORS = 64, 16, 31
 SKETCH_BITS = 1024
@@ -142,7 +142,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     have no shingles and no links. Rows that share a doc_id are one document: what any of them reaches, all do. Rows of
     null doc_id are never linked: component_id is null and kept true. Other columns aren't read.
     """
-    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    k, t = quoted([key, text])
+    d = docs.select(k.cast("long").alias("doc_id"), t.alias("text"))
     rows = materialize(_summaries(d, words), "summaries")
     full = rows.where("n > 0 and doc_id is not null")
     classes = full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"))
@@ -209,7 +210,11 @@ def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return materialize(out, "labels")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near-duplicates, that of the least doc_id; rows of null doc_id all stay."""
-    lost = near_duplicates(docs, words, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each group of near-duplicates, that of the least key; rows of null key all stay, as do those without words.
+
+    Rows that repeat a key stay or go together. The columns may have any names; an empty table gives none.
+    """
+    lost = near_duplicates(docs, words, percent, key, text).where(~F.col("kept")).select(F.col("doc_id").alias("__lost")).distinct()
+    lost = materialize(lost, "lost")  # Spark then knows its size before it plans the join
+    return docs.join(lost, quoted([key])[0] == F.col("__lost"), "left_anti")
