@@ -88,6 +88,16 @@ def test_nearest(spark):
     assert ann.nearest(df.where("false"), df).count() == 0 and ann.nearest(df, df.where("vec_id < 4")).where("query_id = 1").count() == 3
 
 
+def test_nearest_of_odd_tables(spark):
+    huge = [(1, [1e160, 0.0]), (2, [1e160, 1e150]), (3, [2.0, 3.0]), (4, [-1.7e308, 1.7e308]), (4, [1.0, 1.0]), (4, [1.0, 1.0])]
+    df = spark.createDataFrame(huge, "vec_id long, embedding array<double>").selectExpr("*", "1 as `a.b`", "2 as query_id", "3 as Rank", "4 as score")
+    got = [tuple(r)[:3] for r in ann.nearest(df.where("vec_id = 1"), df).orderBy("rank").collect()]
+    assert [g[2] for g in got[:1]] == [2] and len(got) == 5
+    assert ann.nearest(df.where("vec_id = 1"), df).where("rank = 1").first()["score"] == pytest.approx(1e150)
+    near = [tuple(r) for r in ann.nearest(df.where("vec_id = 3"), df).orderBy("rank").collect()]
+    assert [r[2] for r in near[:2]] == [4, 4] and near[0][3] == near[1][3] == pytest.approx(5**0.5)
+
+
 def lang_rows():
     rng = np.random.default_rng(4)
     words = {"en": "the of and that with from thing water over under".split(), "fr": "le la été déjà une avec pour dans eau où".split(), "de": "der die straße über für nicht schön zeit auch haus".split()}
