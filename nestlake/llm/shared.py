@@ -104,7 +104,7 @@ def drop_caches() -> None:
         libc.malloc_trim(0)
 
 
-def pieces(col: pa.Array, most: int = 2_000_000):
+def pieces(col: pa.Array, most: int = 500_000):
     """(first row, row after the last, bytes, offsets) for runs of rows with about `most` bytes; a longer row comes alone."""
     drop_caches()
     data, off = text_buffers(col)
