@@ -35,22 +35,23 @@ def _column(path: str, df: DataFrame) -> Column:
     return F.col(".".join(f"`{p}`" for p in path.split("/")))
 
 
-def resolve(names: list[str], selectors: Iterable[Selector] | Selector) -> dict[str, str]:
-    """Source path to new name, in the order of the selectors; a path that several select counts once, for the first.
+def chosen(names: list[str], selectors: Iterable[Selector] | Selector) -> list[tuple[str, str]]:
+    """(source path, new name) in the order of the selectors; a pair that several select counts once, for the first.
 
-    A string is an exact name, or a container whose members are taken without its prefix. A pattern takes every path in which it is
-    found, under the normalised path. (pattern, replacement) takes the same paths, under the path with every match replaced.
+    A string is an exact name, or a container whose members are taken without its prefix; where the container's own name begins the names of its
+    members, it's kept. A pattern takes every path in which it is found, under the normalised path. (pattern, replacement)
+    takes the same paths, under the path with every match replaced.
     """
     if isinstance(selectors, (str, re.Pattern)) or (isinstance(selectors, tuple) and len(selectors) == 2 and isinstance(selectors[0], re.Pattern)):
         selectors = [selectors]
-    out: dict[str, str] = {}
+    out: dict[tuple[str, str], None] = {}
     for s in selectors:
         if isinstance(s, str):
             inside = [n for n in names if n.startswith(f"{s}/")]
-            if s in names:
-                found = {s: normalized(s)}
-            elif double := [n for n in inside if n.startswith(f"{s}/{s}.") or n.startswith(f"{s}/{s}_")]:
+            if double := [n for n in inside if n.startswith(f"{s}/{s}")]:
                 found = {n: normalized(n) for n in double}
+            elif s in names:
+                found = {s: normalized(s)}
             elif inside:
                 found = {n: normalized(n[len(s) + 1 :]) for n in inside}
             else:
@@ -61,15 +62,21 @@ def resolve(names: list[str], selectors: Iterable[Selector] | Selector) -> dict[
             found = {n: s[0].sub(s[1], n) for n in names if s[0].search(n)}
         else:
             raise TypeError(f"no selector: {s!r}")
-        for k, v in found.items():
-            out.setdefault(k, v)
+        out |= dict.fromkeys(found.items())
+    return list(out)
+
+
+def resolve(names: list[str], selectors: Iterable[Selector] | Selector) -> dict[str, str]:
+    """`chosen` for readers that give a path one name: its first."""
+    out: dict[str, str] = {}
+    for path, name in chosen(names, selectors):
+        out.setdefault(path, name)
     return out
 
 
 def select(df: DataFrame, selectors: Iterable[Selector] | Selector) -> DataFrame:
     """df with the chosen columns only: Catalyst then reads no others from columnar files."""
-    chosen = resolve(leaf_paths(df.schema), selectors)
-    return df.select(*[_column(p, df).alias(new) for p, new in chosen.items()])
+    return df.select(*[_column(p, df).alias(new) for p, new in chosen(leaf_paths(df.schema), selectors)])
 
 
 def row_struct(df: DataFrame, name: str = "row") -> DataFrame:
