@@ -50,8 +50,17 @@ def switch_parts(c: Column) -> tuple[Column, Column]:
 
 
 def pack_bits(c: Column) -> Column:
-    """An array of up to 32 booleans as one number, the first being the lowest bit."""
-    return F.aggregate(F.transform(c, lambda x, i: F.when(x, F.expr("1L") * F.pow(F.lit(2), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda t, x: t + x)
+    """An array of booleans as bytes, the first being the lowest bit of the first byte; null counts as false."""
+    byte = lambda k: F.aggregate(F.slice(c, k * 8 + 1, 8), F.struct(F.lit(0).alias("x"), F.lit(1).alias("bit")), lambda t, x: F.struct((t.x + F.when(x, t.bit).otherwise(0)).alias("x"), (t.bit * 2).alias("bit")), lambda t: F.lpad(F.hex(t.x), 2, "0"))
+    whole = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / 8).cast("int")), byte), "")
+    return F.unhex(F.when(F.size(c) > 0, whole).otherwise(""))
+
+
+def unpack_bits(c: Column, n: Column) -> Column:
+    """The first n booleans of bytes."""
+    byte = lambda i: F.conv(F.substr(F.hex(c), (F.floor(i / 8) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+    bit = lambda i: F.call_function("shiftright", byte(i), (i % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n.cast("int") - 1), bit)).otherwise(F.array().cast("array<boolean>"))
 
 
 # ---- numpy, for pages of stored columns ----

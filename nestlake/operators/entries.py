@@ -7,40 +7,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import checkpoint_folder
+
 ENTRY = "entry"
-#: Rows that one window sorts; larger tables are cut into ranges of the key that are numbered side by side.
+#: Rows that one window sorts; larger tables are sorted in ranges of all keys, side by side.
 ROWS_PER_RANGE = 2_000_000
-SAMPLES_PER_RANGE = 20
-
-
-def _bounds(df: DataFrame, key: str, rows: int, per_range: int) -> list:
-    """Values of key that cut df into ranges of some per_range rows. The driver gets a sample of bounded size."""
-    ranges = -(-rows // per_range)
-    share = min(1.0, ranges * SAMPLES_PER_RANGE / rows)
-    seen = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).sample(share, seed=7).limit(4 * ranges * SAMPLES_PER_RANGE).collect())
-    step = max(1, len(seen) // ranges)
-    return sorted(set(seen[step::step]))
+_WITHIN = (1 << 33) - 1  # of a row's number that Spark makes from its partition and its place in it
 
 
 def with_entry(df: DataFrame, *order_by: str, name: str = ENTRY, per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """df with the place of each row (from 1) in the order of unique keys, nulls first.
 
-    A table of more than per_range rows isn't sorted by one task: its ranges of the first key are counted, and each row's place
-    is the number of rows in the ranges before plus its place in its own.
+    A table of more than per_range rows isn't sorted by one task: it is dealt into ranges of all keys, which are sorted and written to the
+    checkpoint folder, so that they stay as they are; a row's place is the number of rows in the ranges before plus its place in its own.
     """
     order = [F.col(c).asc_nulls_first() for c in order_by]
     rows = df.count()
     if rows <= per_range:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    bounds = _bounds(df, order_by[0], rows, per_range)
-    kind = df.schema[order_by[0]].dataType.simpleString()
-    cuts = F.array(*[F.lit(b).cast(kind) for b in bounds])
-    ranged = df.withColumn("__range", F.when(F.col(order_by[0]).isNull(), F.lit(-1)).otherwise(F.size(F.filter(cuts, lambda b: b <= F.col(order_by[0])))))
-    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
+    ranged = df.repartitionByRange(-(-rows // per_range), *order).sortWithinPartitions(*order).checkpoint()
+    own = F.monotonically_increasing_id()
+    ranged = ranged.withColumns({"__range": F.shiftright(own, 33), "__nth": own.bitwiseAND(F.lit(_WITHIN)) + 1})
+    counts = ranged.groupBy("__range").agg(F.max("__nth").alias("__n"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     starts = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    return ranged.join(F.broadcast(starts), "__range").withColumn(name, (place + F.col("__before")).cast("long")).drop("__range", "__before")
+    return ranged.join(F.broadcast(starts), "__range").withColumn(name, (F.col("__nth") + F.col("__before")).cast("long")).drop("__range", "__before", "__nth")
 
 
 def length(df: DataFrame) -> int:

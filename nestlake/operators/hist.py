@@ -124,3 +124,50 @@ def dense(bins: DataFrame, axes: Sequence[Axis], flow: bool = False) -> tuple[li
             step *= size
         content[at], squares[at] = r["content"], r["sumw2"]
     return content, squares
+
+
+@dataclass(frozen=True)
+class Hist:
+    """A histogram: its bins with their axes, flow included, and what it says of itself. Each operation gives another."""
+
+    bins: DataFrame
+    axes: tuple[Axis, ...]
+    name: str = ""
+    title: str = ""
+    entries: float | None = None
+    sums: dict[str, float] | None = None
+
+    @classmethod
+    def filled(cls, df: DataFrame, axes: Sequence[Axis], weight: str | Column | None = None, name: str = "") -> Hist:
+        return cls(fill(df, axes, weight), tuple(axes), name)
+
+    def inner(self) -> DataFrame:
+        """Bins within the axes, with their edges and the labels of those that have one."""
+        out = with_edges(inner(self.bins, self.axes), self.axes)
+        for n, a in zip(PLACES, self.axes, strict=False):
+            if a.labels:
+                out = out.withColumn(f"{n[1]}_label", F.get(F.array(*[F.lit(x) for x in a.labels]), F.col(n) - 1))
+        return out
+
+    def project(self, *onto: str) -> Hist:
+        kept = tuple(a for n, a in zip(PLACES, self.axes, strict=False) if n in onto)
+        new = {n: PLACES[i] for i, n in enumerate(n for n in PLACES if n in onto)}
+        return Hist(project(self.bins, *new).withColumnsRenamed(new), kept, self.name)
+
+    def rebin(self, by: int, place: str = "ix") -> Hist:
+        at = PLACES.index(place)
+        old = self.axes[at]
+        cuts = old.edge_list()[: old.bins // by * by + 1 : by]
+        new = Axis(old.column, edges=tuple(cuts)) if old.edges else Axis(old.column, old.bins // by, cuts[0], cuts[-1])
+        return Hist(rebin(self.bins, by, old, place), (*self.axes[:at], new, *self.axes[at + 1 :]), self.name)
+
+    def __add__(self, other: Hist) -> Hist:
+        if [a.edge_list() for a in self.axes] != [a.edge_list() for a in other.axes]:
+            raise ValueError("other axes")
+        return Hist(merge(self.bins, other.bins), self.axes, self.name)
+
+    def integral(self) -> float:
+        return integral(self.bins, self.axes).first()["integral"]
+
+    def dense(self, flow: bool = False) -> tuple[list[float], list[float]]:
+        return dense(self.bins, self.axes, flow)

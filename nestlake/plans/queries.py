@@ -259,10 +259,10 @@ def index_build(spark, sf_dir):
     return chain.build_index(numbered(spark, sf_dir, "orders", "o_orderkey"), "o_custkey", "o_totalprice").select("place", "o_custkey", "o_totalprice", "row0")
 
 
-@query(f"with {O}, k as (select o_custkey, min(o_orderkey) o_orderkey from orders where o_custkey % 10 = 0 group by 1) select entry, o_orderkey, o_custkey, o_totalprice from o where (o_custkey, o_orderkey) in (select o_custkey, o_orderkey from k)")
+@query(f"with {O}, k as (select o_custkey, min(o_orderkey) o_orderkey from orders group by 1) select entry, o_orderkey, o_custkey, o_totalprice from o where (o_custkey, o_orderkey) in (select o_custkey, o_orderkey from k)")
 def index_lookup(spark, sf_dir):
     o = numbered(spark, sf_dir, "orders", "o_orderkey")
-    keys = table(spark, sf_dir, "orders").where("o_custkey % 10 = 0").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+    keys = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
     return chain.look_up(o, chain.build_index(o, "o_custkey", "o_orderkey"), keys, "o_custkey", "o_orderkey").select("entry", "o_orderkey", "o_custkey", "o_totalprice")
 
 
@@ -479,27 +479,27 @@ def hist_merge(spark, sf_dir):
 # ---- chunks and clusters ----
 
 _CHUNKS = f"{E}, c as (select 'type' name, (entry - 1) // 12 * 12 + 1 start, cast(sum(length(event_type)) as bigint) zip_bytes, 2.0 ratio from e group by 1, 2 union all select 'props', (entry - 1) // 18 * 18 + 1, cast(sum(length(props)) as bigint), 3.5 from e group by 1, 2)"
-_RANGES = "b as (select start - 1 b from c where name = 'type' intersect select start - 1 from c where name = 'props'), r as (select b + 1 first, lead(b) over (order by b) last from b)"
+_RANGES = "b as (select start - 1 b from c where name = 'type' intersect select start - 1 from c where name = 'props' union select count(*) from e), r as (select b + 1 first, lead(b) over (order by b) last from b qualify last is not null)"
 
 
 def _chunks(spark, sf_dir):
     e = numbered(spark, sf_dir, "events", "event_id")
     part = lambda name, size, text, ratio: e.groupBy(F.expr(f"(entry - 1) div {size} * {size} + 1").alias("start")).agg(F.sum(F.length(text)).alias("zip_bytes")).select(F.lit(name).alias("name"), "start", "zip_bytes", F.lit(ratio).alias("ratio"))
-    return part("type", 12, "event_type", 2.0).unionByName(part("props", 18, "props", 3.5))
+    ends = e.agg(F.max("entry").alias("boundary")).select(F.explode(F.array(F.lit("type"), F.lit("props"))).alias("name"), "boundary")
+    c = part("type", 12, "event_type", 2.0).unionByName(part("props", 18, "props", 3.5))
+    return c, c.select("name", (F.col("start") - 1).alias("boundary")).unionByName(ends)
 
 
-@query(f"with {_CHUNKS}, {_RANGES} select first, last from r where last is not null")
+@query(f"with {_CHUNKS}, {_RANGES} select first, last from r")
 def cluster_ranges(spark, sf_dir):
-    c = _chunks(spark, sf_dir).select("name", (F.col("start") - 1).alias("boundary"))
-    return clusters.common_ranges(c)
+    _, boundaries = _chunks(spark, sf_dir)
+    return clusters.common_ranges(boundaries)
 
 
-@query(f"with {_CHUNKS}, {_RANGES} select first range_first, cast(sum(zip_bytes) as bigint) zip_bytes, round(cast(sum(zip_bytes * ratio) as double), 3) raw_bytes from c join (select first, coalesce(last, 1000000000000) last from r) r on start between first and last group by 1")
+@query(f"with {_CHUNKS}, {_RANGES} select first range_first, cast(sum(zip_bytes) as bigint) zip_bytes, round(cast(sum(zip_bytes * ratio) as double), 3) raw_bytes from c join r on start between first and last group by 1")
 def cluster_bytes(spark, sf_dir):
-    c = _chunks(spark, sf_dir)
-    b = c.select("name", (F.col("start") - 1).alias("boundary"))
-    last = b.groupBy("boundary").agg(F.count("*").alias("n")).where("n = 2").agg((F.max("boundary") + 1).alias("first"), F.lit(None).cast("long").alias("last"))
-    return clusters.range_bytes(c, clusters.common_ranges(b).unionByName(last))
+    c, boundaries = _chunks(spark, sf_dir)
+    return clusters.range_bytes(c, clusters.common_ranges(boundaries))
 
 
 # ---- stored columns ----
@@ -539,10 +539,16 @@ def switch_split(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", tag.alias("tag"), place.alias("place"))
 
 
-@query("select vec_id, cast(sum(case when embedding[i] > 0 then 1::bigint << cast(i - 1 as int) else 0 end) as bigint) bits from (select vec_id, embedding, unnest(range(1, 33)) i from embeddings) group by 1")
+@query("select vec_id, string_agg(printf('%02x', x), '' order by k) bits from (select vec_id, (i - 1) // 8 k, cast(sum(case when embedding[i] > 0 then 1 << cast((i - 1) % 8 as int) else 0 end) as int) x from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) i from embeddings) group by 1, 2) group by 1")
 def pack_bools(spark, sf_dir):
-    signs = F.transform(F.slice("embedding", 1, 32), lambda x: x > 0)
-    return table(spark, sf_dir, "embeddings").select("vec_id", codecs.pack_bits(signs).alias("bits"))
+    signs = F.transform("embedding", lambda x: x > 0)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.lower(F.hex(codecs.pack_bits(signs))).alias("bits"))
+
+
+@query("select vec_id, list_transform(embedding, lambda x: x > 0) signs from embeddings")
+def unpack_bools(spark, sf_dir):
+    packed = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("n"), codecs.pack_bits(F.transform("embedding", lambda x: x > 0)).alias("b"))
+    return packed.select("vec_id", codecs.unpack_bits(F.col("b"), F.col("n")).alias("signs"))
 
 
 @query("select event_id, case when event_type in ('click', 'view') then 1 else 2 end tag, case when event_type in ('click', 'view') then user_id end _0, case when event_type not in ('click', 'view') then event_type end _1 from events")

@@ -1,15 +1,25 @@
-"""Builds files of trees and other objects, byte by byte, for the readers to read."""
+"""Writes files of trees and other objects: keys, baskets and objects by layouts that are given with them.
+
+The readers are held against these files; they hold just those members of a class that readers look at.
+"""
 
 from __future__ import annotations
 
+import re
 import struct
-import zlib
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from nestlake.sources.describe import Out, element, layout_list
-from nestlake.sources.framing import compress
-from nestlake.sources.ntuple_write import _short, key
+from .describe import Out, layout_list
+from .framing import compress
+from .ntuple_write import _short, key
+from .objects import CPP
 
 TIME = 0x76DB5093
 #: Classes of trees with just the members that readers look at.
@@ -57,9 +67,7 @@ def encode(out: Out, layouts: dict, cls: str, m: dict) -> None:
                 else:
                     encode(out, layouts, name, m)
             elif kind in ("basic", "counted"):
-                from nestlake.sources.objects import CPP
-
-                x = np.atleast_1d(np.asarray(m.get(name, 0))).astype(CPP[more[0]])
+                x = np.atleast_1d(np.asarray(m.get(name, () if kind == "counted" else 0))).astype(CPP[more[0]])
                 if kind == "counted":
                     out.put("b", 1)
                 out.data.extend(x.tobytes())
@@ -176,4 +184,90 @@ class Builder:
         return bytes(self.data)
 
 
-__all__ = ["Builder", "element", "encode", "zlib"]
+
+#: Spark types and how trees store them.
+KINDS = {T.ByteType(): "i1", T.ShortType(): ">i2", T.IntegerType(): ">i4", T.LongType(): ">i8", T.FloatType(): ">f4", T.DoubleType(): ">f8", T.BooleanType(): "?", T.StringType(): "string"}
+
+
+def write_trees(df: DataFrame, folder: str, name: str = "tree", rows: int = 100_000, basket: int = 1000) -> int:
+    """df as trees in a folder, a file for each `rows` rows of a partition; gives the number of files. Numbers, booleans, strings and lists of numbers.
+
+    Names of files go by partition and place in it. Nulls become zeros, empty texts and empty lists. A repeated task writes the same name anew.
+    """
+    kinds = {}
+    for f in df.schema.fields:
+        t = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType
+        if t not in KINDS:
+            raise TypeError(f"no branch for {f.name} of type {f.dataType.simpleString()}")
+        kinds[f.name] = KINDS[t]
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        fs, top = pa.fs.FileSystem.from_uri(folder) if re.match(r"[a-z0-9+.-]+:", folder) else (pa.fs.LocalFileSystem(), folder)
+        fs.create_dir(top, recursive=True)
+        part, held, n, files = TaskContext.get().partitionId(), [], 0, 0
+
+        def flush() -> None:
+            nonlocal held, n, files
+            table = pa.Table.from_batches(held)
+            columns = {c: (k, _plain(table[c].combine_chunks(), k)) for c, k in kinds.items()}
+            hidden, shown = f"{top}/.{uuid.uuid4().hex}", f"{top}/part-{part:06d}-{files:04d}.root"
+            with fs.open_output_stream(hidden) as s:
+                s.write(write_tree(columns, name, basket))
+            fs.move(hidden, shown)
+            held, n, files = [], 0, files + 1
+
+        for b in batches:
+            while len(b):
+                held.append(b.slice(0, rows - n))
+                n += len(held[-1])
+                b = b.slice(len(held[-1]))
+                if n == rows:
+                    flush()
+        if n:
+            flush()
+        yield pa.record_batch([pa.array([files])], ["files"])
+
+    return df.mapInArrow(put, "files long").agg({"files": "sum"}).first()[0] or 0
+
+
+def _plain(x: pa.Array, kind: str):
+    if pa.types.is_list(x.type):
+        return [[] if v is None else v for v in x.to_pylist()]
+    return x.fill_null("").to_pylist() if kind == "string" else x.fill_null(False if kind == "?" else 0).to_numpy(zero_copy_only=False)
+
+
+def flat_leaf(name: str, dtype: str, counted: str = "") -> tuple[str, dict]:
+    """The leaf of numbers of a big-endian numpy kind; `counted` names the branch that says how many there are in a cell."""
+    cls = {"i1": "B", "i2": "S", "i4": "I", "i8": "L", "f4": "F", "f8": "D", "?": "O"}[dtype.lstrip(">")]
+    return f"TLeaf{cls}", {"fName": name, "fTitle": f"{name}[{counted}]" if counted else name, "fLen": 1, "fLenType": np.dtype(dtype).itemsize}
+
+
+def write_tree(columns: dict[str, tuple[str, list]], name: str = "tree", basket: int = 1000, setting: int = 101) -> bytes:
+    """A file with one tree. columns: name to (numpy kind, numbers), ("string", texts) or (kind, lists of numbers), of one length; baskets of `basket` entries."""
+    b = Builder(setting=setting)
+    n = len(next(iter(columns.values()))[1]) if columns else 0
+
+    def one(out, column):
+        kind, values = columns[column]
+        chunks = []
+        for at in range(0, n, basket):
+            part = values[at : at + basket]
+            if kind == "string":
+                cells = [_short(x) for x in part]
+            elif len(values) and isinstance(values[0], (list, np.ndarray)):
+                cells = [np.asarray(x, kind).tobytes() for x in part]
+            else:
+                chunks.append((np.asarray(part, kind).tobytes(), None, len(part)))
+                continue
+            off = np.cumsum([0, *map(len, cells)])[:-1]
+            chunks.append((b"".join(cells), off.tolist(), len(cells)))
+        if kind == "string":
+            leaf = "TLeafC", {"fName": column, "fTitle": column, "fLen": 1, "fLenType": 1}
+        else:
+            leaf = flat_leaf(column, kind, "n" if n and isinstance(values[0], (list, np.ndarray)) else "")
+        return b.branch(out, column, [leaf], chunks)
+
+    b.tree(name, lambda out: [one(out, c) for c in columns], n)
+    return b.finish()

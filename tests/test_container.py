@@ -10,10 +10,13 @@ import pyarrow as pa
 import pytest
 
 from nestlake.functions import structs
-from nestlake.sources import byteranges, container, datasource, ntuple, objects, tree
+from nestlake.operators import chain
+from nestlake.sources import build as tree_build
+from nestlake.sources import byteranges, container, datasource, display, fits, histograms, ntuple, objects, tree
 from nestlake.sources.describe import Out
+from nestlake.sources.histograms import LAYOUTS
 from nestlake.sources.ntuple_write import write_ntuple
-from tests.build_container import Builder, encode
+from nestlake.sources.build import Builder, encode
 
 N = 300
 TABLE = pa.table({
@@ -341,3 +344,141 @@ def test_records_of_detectors():
     head["run"], head["utc_seconds"], head["overlays"] = 9, 2**32 - 1, 5
     one = structs.EVENT_HEADER.structs(np.frombuffer(head.tobytes(), np.uint8)).to_pylist()[0]
     assert structs.EVENT_HEADER.dtype.itemsize == 76 and (one["run"], one["utc_seconds"], one["overlays"]) == (9, 2**32 - 1, 5)
+
+
+def histogram(b, out, cls, name, bins, content, squares=(), edges=((), (), ()), labels=(), **more):
+    doubles = lambda v: lambda: out.put("i", len(v)).data.extend(be(v, ">f8"))
+    named = [("TObjString", lambda x=x: out.counted(1, lambda: out.tobject().string(x))) for x in labels]
+    axes = {}
+    for k, a in enumerate(("fXaxis", "fYaxis", "fZaxis")):
+        n, low, high = bins[k] if k < len(bins) else (1, 0, 1)
+        m = {"fName": a, "fNbins": n, "fXmin": low, "fXmax": high, "fXbins": doubles(edges[k])}
+        if not k and labels:
+            m["fLabels"] = ("THashList", lambda: out.objects(named, "TList"))
+        axes[a] = lambda m=m: encode(out, b.layouts, "TAxis", m)
+    return {"fName": name, "fTitle": "title", "fEntries": 4, "array": content, "fSumw2": doubles(squares), "fContour": doubles([]), **axes, **more}
+
+
+def test_stored_histograms(spark, tmp_path):
+    b = Builder(LAYOUTS)
+    b.object("TH1D", "one", lambda out: histogram(b, out, "TH1D", "one", [(2, -2, 2)], [0, 40, 2, 0], [0, 800, 2, 0], labels=("left", "right"), fTsumw=42.0, fTsumwx=-57.0))
+    two = np.zeros((4, 6), order="F")
+    two[1:3, 1:5] = [[20, 0, 0, 20], [1, 0, 0, 1]]
+    b.object("TH2F", "two", lambda out: histogram(b, out, "TH2F", "two", [(2, -2, 2), (4, -2, 2)], two.ravel("F")))
+    b.object("TH1I", "edges", lambda out: histogram(b, out, "TH1I", "edges", [(2, -2, 2)], [1, 40, 2, 3], edges=((-2, 1, 2), (), ())))
+    three = np.zeros((6, 5, 4), order="F")
+    for at, v in {(1, 1, 1): 2, (2, 1, 1): 3, (3, 2, 1): 5, (4, 3, 2): 7, (1, 2, 2): 4}.items():
+        three[at] = v
+    b.object("TH3D", "three", lambda out: histogram(b, out, "TH3D", "three", [(4, 0, 4), (3, 0, 3), (2, 0, 2)], three.ravel("F")))
+    b.object("TH2D", "flat", lambda out: histogram(b, out, "TH2D", "flat", [(2, 0, 1), (1, 0, 1)], range(12)))
+    f = opened(tmp_path, b.finish())
+    content, axes, squares, entries = histograms.parsed(f["one"])
+    assert content.tolist() == [40, 2] and squares.tolist() == [800, 2] and entries == 4 and axes[0].labels == ("left", "right")
+    assert histograms.parsed(f["two"])[0].tolist() == [[20, 0, 0, 20], [1, 0, 0, 1]] and histograms.parsed(f["flat"])[0].shape == (2, 1)
+    h = histograms.read_hist(spark, f.path, "one")
+    assert h.sums["tsumw"] == 42 and h.sums["tsumwx"] == -57 and h.integral() == 42 and [r["x_label"] for r in h.inner().orderBy("ix").collect()] == ["left", "right"]
+    assert (h + h).integral() == 84 and h.rebin(2).dense()[0] == [42.0] and h.axes[0].edge_list() == [-2, 0, 2]
+    e = histograms.read_hist(spark, f.path, "edges")
+    assert e.axes[0].edge_list() == [-2, 1, 2] and e.dense() == ([40.0, 2.0], [40.0, 2.0]) and e.dense(flow=True)[0] == [1, 40, 2, 3]
+    t = histograms.read_hist(spark, f.path, "three")
+    assert t.integral() == 21 and t.bins.count() == 120 and t.project("iy").dense()[0] == [5.0, 9.0, 7.0]
+
+
+ROO = [
+    ("RooPrintable", 0, []), ("RooDirItem", 0, []), ("RooAbsLValue", 0, []),
+    ("RooSTLRefCountList<RooAbsArg>", 3, [("stl", "_storage", "vector<RooAbsArg*>"), ("stl", "_refCount", "vector<unsigned int>")]),
+    ("RooAbsArg", 8, [("base", "TNamed", 1), ("base", "RooPrintable", 0), ("any", "_serverList", "RooSTLRefCountList<RooAbsArg>"), ("stl", "_boolAttrib", "set<string>"), ("stl", "_stringAttrib", "map<string,string>"), ("basic", "_deleteWatch", "bool")]),
+    ("RooAbsReal", 3, [("base", "RooAbsArg", 8), ("basic", "_plotMin", "double"), ("basic", "_plotMax", "double"), ("basic", "_plotBins", "int"), ("basic", "_value", "double"), ("string", "_unit"), ("string", "_label")]),
+    ("RooAbsRealLValue", 1, [("base", "RooAbsReal", 3), ("base", "RooAbsLValue", 0)]),
+    ("RooRealVar", 9, [("base", "RooAbsRealLValue", 1), ("basic", "_error", "double"), ("basic", "_asymErrLo", "double"), ("basic", "_asymErrHi", "double"), ("pointer", "_binning", "RooAbsBinning")]),
+    ("RooAbsCollection", 4, [("base", "TObject", 1), ("base", "RooPrintable", 0), ("stl", "_list", "vector<RooAbsArg*>"), ("basic", "_ownCont", "bool"), ("string", "_name"), ("basic", "_allRRV", "bool")]),
+    ("RooArgList", 1, [("base", "RooAbsCollection", 4)]),
+    ("RooFitResult", 6, [("base", "TNamed", 1), ("base", "RooPrintable", 0), ("base", "RooDirItem", 0), ("basic", "_status", "int"), ("basic", "_covQual", "int"), ("basic", "_numBadNLL", "int"), ("basic", "_minNLL", "double"), ("basic", "_edm", "double"),
+        *[("pointer", n, "RooArgList") for n in ("_constPars", "_initPars", "_finalPars")], ("pointer", "_CM", "TMatrixTSym<double>"), ("pointer", "_VM", "TMatrixTSym<double>"), ("pointer", "_GC", "TVectorT<double>")]),
+]
+
+
+def test_fit_results(spark, tmp_path):
+    b = Builder(ROO)
+
+    def variable(out, name, value, error):
+        empty = lambda: out.counted(1, lambda: out.put("i", 0))
+        m = {"fName": name, "_value": value, "_error": error, "_asymErrLo": -error, "_asymErrHi": error, "_plotBins": 100, "_boolAttrib": empty, "_stringAttrib": empty, "_serverList": {"_storage": empty, "_refCount": empty}}
+        return "RooRealVar", lambda: encode(out, b.layouts, "RooRealVar", m)
+
+    def variables(out, *items):
+        def body():
+            out.put("i", len(items))
+            for cls, write in items:
+                out.pointer(cls, write)
+
+        return "RooArgList", lambda: encode(out, b.layouts, "RooArgList", {"_list": lambda: out.counted(1, body), "_name": "pars", "_allRRV": True})
+
+    def matrix(out, *packed):
+        def write():
+            out.counted(5, lambda: out.tobject().put("iiiiii", 2, 2, 0, 0, 4, 0).put("d", 0.0)).put("ddd", *packed)
+
+        return "TMatrixTSym<double>", write
+
+    def full(out, cov=True):
+        x, y = variable(out, "x", 1.5, 2.0), variable(out, "y", -1.5, 3.0)
+        m = {"fName": "fit", "_status": 3, "_covQual": 3, "_minNLL": 12.5, "_edm": 0.125, "_constPars": variables(out), "_initPars": variables(out, x, y), "_finalPars": variables(out, x, y)}
+        if cov:
+            gc = "TVectorT<double>", lambda: out.counted(4, lambda: out.tobject().put("iib", 2, 0, 1).put("dd", 0.8, 0.9))
+            m |= {"_CM": matrix(out, 1.0, 0.5, 1.0), "_VM": matrix(out, 4.0, 3.0, 9.0), "_GC": gc}
+        return m
+
+    b.object("RooFitResult", "full", full)
+    b.object("RooFitResult", "nocov", lambda out: full(out, False))
+    f = opened(tmp_path, b.finish())
+    r = fits.fit_result(f["full"])
+    assert (r.status, r.covqual, r.minnll, r.edm) == (3, 3, 12.5, 0.125) and r.covariance.tolist() == [[4, 3], [3, 9]] and r.correlation.tolist() == [[1, 0.5], [0.5, 1]] and r.global_correlations.tolist() == [0.8, 0.9]
+    p = r.parameters(spark)
+    assert [tuple(x) for x in p.where("kind = 'final'").select("name", "value", "error").collect()] == [("x", 1.5, 2.0), ("y", -1.5, 3.0)] and p.where("kind = 'const'").count() == 0
+    assert chain.only(p.where("kind = 'final'"), "name", "y")["value"] == -1.5
+    none = fits.fit_result(f["nocov"])
+    assert none.covariance is None and none.global_correlations is None and none.matrix_frame(spark) is None
+    assert r.matrix_frame(spark).where("i = 0 and j = 1").first()["v"] == 3.0
+
+
+def test_maps_of_strings_and_own_readers(tmp_path):
+    layouts = [("Head", 1, [("base", "TObject", 1), ("stl", "map", "map<string,string>")])]
+    b = Builder(layouts)
+
+    def members(out):
+        def body():
+            out.put("hIi", 0, 7, 2)
+            out.counted(1, lambda: out.string("a").string("b"))
+            out.counted(1, lambda: out.string("1").string("2"))
+
+        return {"map": lambda: out.counted(0x4001, body)}
+
+    b.object("Head", "head", members)
+    b.object("Head", "plain", lambda out: {"map": lambda: out.counted(1, lambda: out.put("i", 1).string("k").string("v"))})
+    b.add("Odd", "odd", lambda out: out.put("I", 77))
+    f = opened(tmp_path, b.finish(), custom={"Odd": lambda reader, cursor: cursor.take("I")})
+    assert f["head"] == {"a": "1", "b": "2"} and f["plain"] == {"k": "v"} and f["odd"] == 77
+    with pytest.raises(NotImplementedError):
+        container.Container(f.path)["odd"]
+
+
+def test_displays(spark, tmp_path):
+    f = opened(tmp_path, build().finish())
+    shown = display.file_tree(f)
+    assert shown.splitlines()[1].strip() == "t (TTree)" and shown.count("t (TTree)") == 1 and "⋮" in shown and "mydir (TDirectory)" in shown and "      e (TNamed)" in shown
+    g = opened(tmp_path, write_ntuple(TABLE, "nt"), "n.root")
+    assert "st (std::tuple<std::int64_t,std::vector<std::int16_t>>)" in display.file_tree(g)
+    df = spark.createDataFrame([(i, [1.23456, 2.0], "x" * 300) for i in range(1200)], "a int, v array<double>, s string")
+    assert display.short([1.23456, 1e-9 / 3]) == "[1.23, 3.33e-10]" and display.short("x" * 300, 7) == "x" * 7 and display.thousands(1234567) == "1,234,567"
+    assert "1,200 rows × 3 columns (omitted printing of 1,190 rows)" in display.html_table(df) and display.text_table(df, 3).count("\n") == 5
+
+
+def test_trees_are_written_by_spark(spark, tmp_path):
+    df = spark.createDataFrame([(i, float(i) / 3, None if i % 5 == 0 else "é" * (i % 4), [i] * (i % 3), i % 2 == 0) for i in range(2500)], "i long, d double, s string, v array<int>, b boolean").repartitionByRange(3, "i").sortWithinPartitions("i")
+    assert tree_build.write_trees(df, str(tmp_path / "t"), rows=700, basket=100) == 6
+    got = datasource.read(spark, str(tmp_path / "t"), "tree", entry=True)
+    want = df.fillna("")
+    assert got.drop("__entry").exceptAll(want).count() == want.exceptAll(got.drop("__entry")).count() == 0
+    assert got.where("__entry <> i").count() == 0
+    with pytest.raises(TypeError):
+        tree_build.write_trees(spark.sql("select timestamp'2020-01-01' t"), str(tmp_path / "u"))

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from nestlake.plans import container_queries  # noqa: F401 - registers its queries with core
 from nestlake.plans import queries as core
 
 SF = "/root/testdata/sf0.001"
@@ -23,6 +24,8 @@ def con():
 def plain(x):
     if isinstance(x, float):
         return round(x, 6)
+    if isinstance(x, dict):
+        return tuple(plain(y) for y in x.values())
     if isinstance(x, (list, tuple)):
         return tuple(plain(y) for y in x)
     return x
