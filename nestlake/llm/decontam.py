@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, quoted
+from .shared import materialize, quoted, without_keys
 
 #: What separates words. Splitting by it takes a twentieth of the time of extracting the words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -150,5 +150,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 1, key
         bad = found.where("n_hit > 0").select("doc_id")
     else:
         bad = _items(found, wins).groupBy("doc_id", "rid").agg(F.count("*").alias("n")).where(F.col("n") >= min_items).select("doc_id")
-    bad = materialize(bad.distinct().withColumnRenamed("doc_id", "__bad"), "contaminated")  # Spark then knows its size before it plans the join
-    return docs.join(bad, quoted([key])[0] == F.col("__bad"), "left_anti")
+    return without_keys(docs, key, bad, "contaminated")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, mix, pieces, prefix_hash, quoted, span_hash
+from .shared import materialize, mix, pieces, prefix_hash, quoted, span_hash, without_keys
 
 SYMBOLS, CHUNKS, MOST_ERRORS = 64, 16, 31
 SKETCH_BITS = 1024
@@ -215,6 +215,5 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key
 
     Rows that repeat a key stay or go together. The columns may have any names; an empty table gives none.
     """
-    lost = near_duplicates(docs, words, percent, key, text).where(~F.col("kept")).select(F.col("doc_id").alias("__lost")).distinct()
-    lost = materialize(lost, "lost")  # Spark then knows its size before it plans the join
-    return docs.join(lost, quoted([key])[0] == F.col("__lost"), "left_anti")
+    lost = near_duplicates(docs, words, percent, key, text).where(~F.col("kept")).select("doc_id")
+    return without_keys(docs, key, lost, "lost")

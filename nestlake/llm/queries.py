@@ -114,4 +114,17 @@ r as (select query_id, cast(row_number() over (partition by query_id order by sc
 select * from r where "rank" <= 10
 """
 
-SQL: dict[str, str] = {"op4_winnowing": OP4_SQL, "op6_hamming_join": OP6_SQL, "op7_block_matrix": OP7_SQL, "op8_chat": OP8_SQL}
+OP10_SQL = """
+with d as (select row_number() over () rid, doc_id, lower(hex(encode(coalesce(text, '')))) h from documents),
+w as (select rid, doc_id, i, substr(h, 2 * i - 1, 100) win from (select rid, doc_id, h, unnest(range(1, length(h) // 2 - 48)) i from d where doc_id is not null and length(h) >= 100)),
+m as (select win, min(doc_id) least from w group by win having min(doc_id) < max(doc_id)),
+b as (select rid, i, coalesce(lag(i) over (partition by rid order by i) + 50, 0) covered from w join m using (win) where doc_id > least),
+s as (select rid, i begins, coalesce(lead(i) over (partition by rid order by i), 9223372036854775807) next, max(i) over (partition by rid) last, i > covered from b where i > covered),
+e as (select rid, begins, (select max(b.i) from b where b.rid = s.rid and b.i >= s.begins and b.i < s.next) + 50 ends from s),
+k as (select rid, list(struct_pack(a := begins, z := ends) order by begins) cuts, sum(ends - begins) n, count(*) c from e group by rid)
+select doc_id, cast(length(h) // 2 as bigint) n_bytes, cast(coalesce(n, 0) as bigint) n_removed, cast(coalesce(c, 0) as bigint) n_spans,
+sha256(unhex(case when n is null then h else array_to_string(list_transform(range(1, len(cuts) + 2), lambda j: substr(h, case when j = 1 then 1 else 2 * cuts[j - 1].z - 1 end, case when j = 1 then 2 * cuts[1].a - 2 when j > len(cuts) then length(h) else 2 * (cuts[j].a - cuts[j - 1].z) end)), '') end)) kept_sha256
+from d left join k using (rid)
+"""
+
+SQL: dict[str, str] = {"op4_winnowing": OP4_SQL, "op6_hamming_join": OP6_SQL, "op7_block_matrix": OP7_SQL, "op8_chat": OP8_SQL, "op10_suffix_intervals": OP10_SQL}

@@ -69,6 +69,15 @@ def others(names: list[str], added: list[str]) -> list[str]:
     return [n for n in names if n.casefold() not in own]
 
 
+def without_keys(docs: DataFrame, key: str, gone: DataFrame, name: str) -> DataFrame:
+    """docs without the rows whose key is in gone (one column); null keys stay. gone is written first, so that Spark knows its size before it plans the join."""
+    own = "gone"
+    while own in [c.casefold() for c in docs.columns]:
+        own += "_"
+    gone = materialize(gone.toDF(own).distinct(), name)
+    return docs.join(gone, quoted([key])[0] == F.col(own), "left_anti")
+
+
 def row_tag(key: str = "doc_id", text: str = "text"):
     """Tells rows of one key with different texts apart; whole-row repeats share it."""
     return F.xxhash64(F.col(key), F.col(text))

@@ -218,6 +218,32 @@ def test_contamination(spark):
     assert decontam.decontaminate(docs, bench).columns == docs.columns
 
 
+def test_contamination_of_odd_tables(spark):
+    rng = np.random.default_rng(12)
+    item = "needle one two three four five six seven eight"
+    long = " ".join(rng.choice(["a", "b", "c"], 60_000)) + f" {item} " + " ".join(rng.choice(["a", "b", "c"], 60_000))
+    docs = spark.createDataFrame([(1, long), (2, ""), (2, None), (None, item), (3, item), (3, "clean"), (4, "x")], "doc_id long, text string").selectExpr("*", "1 as `a.b`", "2 as n_words", "3 as __bad")
+    bench = spark.createDataFrame([(7, item), (7, item), (8, None)], "item_id long, text string")
+    got = {(r["doc_id"], r["n_words"]): (r["n_hit"], r["n_items"]) for r in decontam.contamination_report(docs, bench).collect()}
+    assert got == {(1, 120_009): (9, 1), (2, 0): (0, 0), (None, 9): (9, 1), (3, 9): (9, 1), (3, 1): (0, 0), (4, 1): (0, 0)}
+    kept = decontam.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "2", "4", "None"]
+    assert decontam.decontaminate(docs, bench, min_items=2).count() == 7
+    none = docs.where("false")
+    assert decontam.contamination_report(none, bench).count() == decontam.decontaminate(none, bench).count() == 0
+
+
+def test_chat_of_odd_tables(spark):
+    long = "# </turn> \\\\" * 30_000
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long), (1, 1, "assistant", long), (2, 0, "user", "no reply")], "conv_id long, turn int, role string, text string").selectExpr("*", "1 as seq", "2 as `a.b`", "3 as example")
+    got = {r["conv_id"]: r for r in chat.chat_digest(df).collect()}
+    assert got[1]["loss_chars"] == 2 * len(long) and got[1]["loss_sha256"] == hashlib.sha256((long * 2).encode()).hexdigest()
+    assert got[2]["loss_chars"] == 0 and got[2]["n_turns"] == 1
+    x = chat.expand(chat.format_chat(df)).collect()
+    assert sorted(r["example"] for r in x) == [0, 1] and all(r["conv_id"] == 1 for r in x)
+    assert chat.chat_digest(df.where("false")).count() == 0
+
+
 def test_mixing(spark):
     rows = [(i, "abc"[i % 10 // 5 + (i % 10 == 9)]) for i in range(400)] + [(400 + i, None) for i in range(9)]
     df = spark.createDataFrame(rows, "doc_id long, source string")
@@ -320,6 +346,28 @@ def test_one_whole_item_is_dropped(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, docs, sf).collect()) == [2, 3, 4]
 
 
+def test_pipeline_of_odd_tables(spark, tok):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows, _ = lang_rows()
+    long = " ".join(f"water{i}" for i in range(30_000))
+    docs = [(i, f"{t} tail{i} end{i} mark{i} note{i} last{i}", k, "ab"[i % 2], 0) for i, t, k in rows]
+    docs += [(None, "no id but text", "en", None, 0), (7000, long, None, "a", 0), docs[5], docs[5], (7001, None, None, None, None)]
+    sf = "/tmp/checkpoints/odd-pipeline-test"
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(0, None)], "item_id long, text string").write.mode("overwrite").parquet(f"{sf}/benchmark.parquet")
+    for table in (docs, []):
+        spark.createDataFrame(table, names).selectExpr("*", "1 as slot", "2 as lang_pred", "3 as `a.b`").write.mode("overwrite").parquet(f"{sf}/documents.parquet")
+        d = spark.read.parquet(f"{sf}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            d = stage(spark, d, sf)
+            assert d.columns == ["doc_id", "text", "lang", "source", "n_chars", "slot", "lang_pred", "a.b"], name
+        out = corpus_pipeline.run(spark, sf).collect()
+        assert d.count() == len(out) == (len(table) - 1 if table else 0)
+        if table:
+            got = {r["doc_id"]: r["n_tokens"] for r in out}
+            assert got[7000] == len(ids_of(tok, long)) + 1 and None in got and 7001 not in got
+
+
 def test_a_hot_source_is_kept_whole(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(i, "a") for i in range(400)] + [(400, "b"), (401, None)]
