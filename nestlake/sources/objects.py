@@ -197,6 +197,10 @@ class Reader:
         version, end = c.header()
         out = into or Obj(cls)
         out.version = version
+        if cls == "TBranch" and version < 10:
+            _old_branch(self, c, out)
+            c.finish(end, cls)
+            return out
         for e in self.elements(cls, version):
             self.member(c, e, out, end)
         c.finish(end, cls)
@@ -457,6 +461,27 @@ def _basket(r: Reader, c: Cursor) -> Obj:
     return Obj("TBasket", 0, {"data": c.bytes(last - keylen), "offsets": offsets, "n": n})
 
 
+def _old_branch(r: Reader, c: Cursor, out: Obj) -> None:
+    """A branch before version 10: counts as doubles, places in 32 bits unless a flag says otherwise. The file's layout doesn't tell."""
+    m = out.members
+    m |= _named(r, c).members
+    _, end = c.header()  # fill attributes
+    c.at = end
+    for n in ("fCompress", "fBasketSize", "fEntryOffsetLen", "fWriteBasket", "fEntryNumber", "fOffset", "fMaxBaskets", "fSplitLevel"):
+        m[n] = c.take("i")
+    for n in ("fEntries", "fTotBytes", "fZipBytes"):
+        m[n] = int(c.take("d"))
+    for n in ("fBranches", "fLeaves", "fBaskets"):
+        m[n] = _obj_array(r, c)
+    n = m["fMaxBaskets"]
+    c.take("b")
+    m["fBasketBytes"] = c.array(">i4", n)
+    c.take("b")
+    m["fBasketEntry"] = c.array(">i4", n)
+    m["fBasketSeek"] = c.array(">i8" if c.take("b") == 2 else ">i4", n)
+    m["fFileName"] = c.string()
+
+
 _ELEMENTS = ("Base", "BasicType", "BasicPointer", "Loop", "STL", "STLstring", "Object", "ObjectPointer", "ObjectAny", "ObjectAnyPointer", "String", "Artificial")
 _OWN: dict[str, Callable] = {
     "TObject": _tobject, "TNamed": _named, "TObjString": _obj_string, "TObjArray": _obj_array, "TList": _list, "THashList": _list, "TString": lambda r, c: c.string(),

@@ -482,3 +482,17 @@ def test_trees_are_written_by_spark(spark, tmp_path):
     assert got.where("__entry <> i").count() == 0
     with pytest.raises(TypeError):
         tree_build.write_trees(spark.sql("select timestamp'2020-01-01' t"), str(tmp_path / "u"))
+
+
+def test_branches_of_old_files():
+    out = Out()
+
+    def body():
+        out.named("old").counted(1, lambda: out.put("hh", 0, 1001)).put("8i", 1, 32000, 0, 1, 3, 0, 2, 0).put("ddd", 3.0, 100.0, 90.0)
+        for _ in range(3):
+            out.objects([])
+        out.put("b2i", 1, 40, 0).put("b2i", 1, 0, 3).put("b2q", 2, 1 << 40, 0).string("f")
+
+    out.counted(8, body)
+    b = objects.Reader().read(objects.Cursor(bytes(out.data)), "TBranch")
+    assert (b["fName"], b["fEntries"], b["fZipBytes"], b["fBasketSeek"].tolist(), b["fFileName"]) == ("old", 3, 90, [1 << 40, 0], "f")
