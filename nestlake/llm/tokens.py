@@ -25,6 +25,11 @@ CACHE, CACHED_CHARS = 600_000, 40
 WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!#$%&*+,./:;=?@^_~-]*)")
 
 
+#: Byte-level models see a byte as a letter: itself where it can be seen, else the next free one from U+0100 on.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SHOWN = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
+
+
 class Pieces(dict):
     """The token ids, as bytes, of any piece of text without SEPARATORS. Those of short pieces are kept for reuse."""
 
@@ -43,6 +48,10 @@ class Pieces(dict):
         self.parts = self.drops and self._same("abc.,", ["abc", ".,"]) and self._same("\u00e9b#!-", ["\u00e9b", "#!-"])
         self.lowers = self.parts and self._same("AZ\u00c9\u0178", ["az\u00e9\u00ff"])
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        letters = [c for c in map(chr, range(0x41, 0x250)) if WORD.fullmatch(c)]
+        low = "".join(letters).lower() if self.lowers else "".join(letters)
+        #: Whether a word of those letters may go to the model itself, its bytes written as the letters that stand for them: tried with each of them.
+        self.direct = self.parts and all(self._word(x) == self._ids(x) for x in (*low, *(low[i : i + 5] for i in range(0, len(low), 3))))
 
     def _same(self, text: str, parts: list[str]) -> bool:
         ids = lambda x: self.tok.encode(x, add_special_tokens=False).ids
@@ -69,7 +78,14 @@ class Pieces(dict):
         if marks:
             return self[word] + self[marks]
         low = word.lower() if self.lowers else word
-        return self[low] if low != word else self._ids(word)
+        if low != word:
+            return self[low]
+        return self._word(word) if self.direct else self._ids(word)
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word that no step before the model changes or cuts. That takes less than half the time of all steps."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(SHOWN)
+        return np.array([t.id for t in self.tok.model.tokenize(shown)], self.dtype).tobytes()
 
     def _ids(self, piece: str) -> bytes:
         return np.array(self.tok.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
