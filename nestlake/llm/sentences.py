@@ -229,4 +229,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", run
 def repeats_report(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = 0) -> DataFrame:
     """`remove_repeats` in figures: doc_id, n_bytes, n_removed, n_spans (runs of removed text), kept_sha256, n_sentences, n_removed_sentences."""
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return _cleaned(d, run).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_sentences", "n_removed_sentences")
+    return materialize(_cleaned(d, run).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_sentences", "n_removed_sentences"), "report")

@@ -433,4 +433,4 @@ def remove_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text")
 def substring_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`remove_substrings` in figures: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256."""
     d = _cleaned(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return materialize(d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "report")
