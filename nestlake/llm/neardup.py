@@ -165,7 +165,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
         return pairs.join(x, "a").join(y, "b").where(_may_link("ra", "rb", percent)).select("a", "b", F.expr("aggregate(zip_with(ra.s, rb.s, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)").alias("far"))
 
     stars = shared.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    stars = materialize(passed(stars).distinct(), "stars")
+    # not made distinct again: that would tie the last join to its partitions, so that a skewed one couldn't be split
+    stars = materialize(passed(stars), "stars")
     some = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
     sets = materialize(_sets(d, some, words), "sets")
     nearest = stars.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
