@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, quoted
+from .shared import materialize, quoted, trimmed
 
 #: Bytes of query vectors that one pass broadcasts; further queries take further passes over the candidates.
 PASS_BYTES = 8 << 20
@@ -144,7 +144,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, key: str = "
             for near in lists.values():
                 yield pa.record_batch([pa.array(x) for x in near.found()], ["query_id", "vec_id", "score"])
 
-        part = c.mapInArrow(search, "query_id long, vec_id long, score double")
+        part = c.mapInArrow(trimmed(search), "query_id long, vec_id long, score double")
         if passes > 1:
             part = materialize(part, "nearest")
             shared.destroy()

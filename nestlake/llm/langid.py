@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .shared import materialize, others, pieces, quoted
+from .shared import materialize, others, pieces, quoted, trimmed
 
 #: Labelled documents of each language that are learnt from, about: whole texts, chosen by hash.
 TRAIN_DOCUMENTS = 20_000
@@ -92,7 +92,7 @@ def _model(d: DataFrame, n: dict[str, int], per_language: int) -> Model:
             there = np.flatnonzero(t)
             yield pa.record_batch([pa.array(np.full(len(there), i)), pa.array(there), pa.array(t[there])], ["l", "g", "n"])
 
-    sums = d.mapInArrow(count, "l long, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toArrow()
+    sums = d.mapInArrow(trimmed(count), "l long, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toArrow()
     t = np.zeros((len(langs), BUCKETS + CODES * CODES))
     t[sums["l"].to_numpy(), sums["g"].to_numpy()] = sums["n"].to_numpy()
     return langs, np.log(t[:, :BUCKETS] + PRIOR / 64).astype(np.float32), np.log(t[:, BUCKETS:] + PRIOR).astype(np.float32)
@@ -208,7 +208,7 @@ def _predict(docs: DataFrame, model: Model, at: int, more: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixed, pa.string()), pa.array(fit, pa.float64())], [*names, *own])
 
     kinds = [StructField(f.name, f.dataType) for f in docs.schema.fields if f.name in names]
-    return docs.mapInArrow(predict, StructType([*kinds, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("langs", StringType()), StructField("fit", DoubleType())]))
+    return docs.mapInArrow(trimmed(predict), StructType([*kinds, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("langs", StringType()), StructField("fit", DoubleType())]))
 
 
 def _identified(docs: DataFrame, models: Iterable[Model], text: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, mix, pieces, prefix_hash, quoted, span_hash, without_keys
+from .shared import materialize, mix, pieces, prefix_hash, quoted, span_hash, trimmed, without_keys
 
 SYMBOLS, CHUNKS, MOST_ERRORS = 64, 16, 31
 SKETCH_BITS = 1024
@@ -101,7 +101,7 @@ def _summaries(docs: DataFrame, words: int) -> DataFrame:
                         s[i], o[i] = signature(x), parity_sketch(x)
                 yield pa.record_batch([part.column(0), pa.array(n), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), _long_lists(s), _long_lists(o)], ["doc_id", "n", "d1", "d2", "s", "o"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, s array<long>, o array<long>")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n long, d1 long, d2 long, s array<long>, o array<long>")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -131,7 +131,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)))], ["id", "h"])
 
     picked = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    return picked.mapInArrow(run, "id long, h array<long>").where(F.size("h") > 0)
+    return picked.mapInArrow(trimmed(run), "id long, h array<long>").where(F.size("h") > 0)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .neardup import _LOWER, _SPACE
-from .shared import materialize, mix, pieces, powers, prefix_hash, release, span_hash
+from .shared import materialize, mix, pieces, powers, prefix_hash, release, span_hash, trimmed
 
 #: Sentences of a span, words at least. A sentence ends with . ! ? or a line, and after LONGEST words in any case.
 SPAN, LEAST_WORDS, LONGEST = 3, 12, 16
@@ -140,7 +140,7 @@ def _spans(docs: DataFrame, words: int = 0) -> DataFrame:
                 ids = b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
                 yield pa.record_batch([pa.array(h1[pick].view(np.int64)), pa.array(h2[pick].astype(np.int32)), pa.array(ids[row[pick]], pa.int64())], ["h1", "h2", "doc_id"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "h1 long, h2 int, doc_id long")
+    return docs.where("doc_id is not null").mapInArrow(trimmed(run), "h1 long, h2 int, doc_id long")
 
 
 def _later(docs: DataFrame, words: int = 0) -> DataFrame:
@@ -211,7 +211,7 @@ def _cleaned(docs: DataFrame, words: int = 0) -> DataFrame:
                 kept, *counts = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(kept, pa.binary()), *[pa.array(c, pa.int64()) for c in counts]], names)
 
-    return d.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, n_sentences long, n_removed_sentences long")
+    return d.mapInArrow(trimmed(run), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, n_sentences long, n_removed_sentences long")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = 0) -> DataFrame:

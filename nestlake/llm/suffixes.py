@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BYTE_WORDS, materialize, mix, pieces, powers, release, text_buffers
+from .shared import BYTE_WORDS, materialize, mix, pieces, powers, release, text_buffers, trimmed
 
 LENGTH, K = 50, 24
 #: Bytes of text whose anchors a task packs at once; anchors that meet in one group, about.
@@ -306,7 +306,7 @@ def _settled(docs: DataFrame, parts: int) -> DataFrame:
         mark = (lo[use].astype(np.int64) << 8) + 2 * count[use] + ~gone[use]
         return _marks(doc[use], tags[row[use]], mark)
 
-    blobs = docs.mapInArrow(send, "part int, blob binary")
+    blobs = docs.mapInArrow(trimmed(send), "part int, blob binary")
     marks = blobs.groupBy("part").applyInArrow(settle, MARKS)
     return materialize(marks.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("marks")).alias("marks")), "marks")
 
@@ -375,7 +375,7 @@ def _opened(docs: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
 
     open_ = marks.select("doc_id", "tag", F.filter("marks", lambda x: x.bitwiseAND(1) == 1).alias("marks")).where(F.size("marks") > 0)
     d = docs.join(open_, ["doc_id", "tag"]).select("doc_id", "tag", "text", "marks").dropDuplicates(["doc_id", "tag"])
-    blobs = d.mapInArrow(send, "part int, blob binary")
+    blobs = d.mapInArrow(trimmed(send), "part int, blob binary")
     return materialize(blobs.groupBy("part").applyInArrow(settle, MARKS), "windows")
 
 
@@ -416,7 +416,7 @@ def _cleaned(docs: DataFrame) -> DataFrame:
                 kept, *counts = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), *[pa.array(c, pa.int64()) for c in counts]], names)
 
-    return d.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return d.mapInArrow(trimmed(run), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def remove_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, new_folder
+from .shared import materialize, new_folder, trimmed
 from .tokens import encode_text, pieces_of
 
 #: Ids in a sequence, sequences in a record batch.
@@ -118,7 +118,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
                 s.close()
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([docs_n]), pa.array([out.n])], ["part", "path", "n_docs", "n_tokens"])
 
-    return materialize(d.mapInArrow(write, MANIFEST), "manifest")
+    return materialize(d.mapInArrow(trimmed(write), MANIFEST), "manifest")
 
 
 class TokenFile:
@@ -178,7 +178,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     crc = np.fromiter((zlib.crc32(x.astype("<u4").tobytes()) for x in own), np.int64, len(own))
                     yield pa.record_batch([doc, pa.array(first + base), pa.array(n), pa.array(crc)], names)
 
-    return m.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return m.mapInArrow(trimmed(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, **options) -> DataFrame:

@@ -12,14 +12,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import worker_caches
+from .shared import trimmed, worker_caches
 
 #: Characters that end a piece: no token of a tokenizer that drops white space reaches over one.
 SEPARATORS = " \n"
 #: Texts of more characters are encoded in chunks of CHUNK that overlap.
 HUGE, CHUNK, OVERLAP = 8192, 4096, 128
-#: Pieces that a worker keeps in each of two generations, and their longest: some 250 MB at most.
-CACHE, CACHED_CHARS = 600_000, 40
+#: Pieces that a worker keeps in each of two generations, and their longest: some 125 MB at most.
+CACHE, CACHED_CHARS = 300_000, 40
 #: A word and the ASCII marks behind it. The letters are Latin ones that lower-casing turns into one letter each (the dotted capital
 #: I becomes a letter and a mark of its own, so it isn't among them), and that composing leaves alone.
 WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!#$%&*+,./:;=?@^_~-]*)")
@@ -190,4 +190,4 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, key: str =
             n = np.fromiter((len(encode_text(pieces, x)) for x in t.to_pylist()), np.int64, len(t)) // pieces.dtype.itemsize
             yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_length(t).cast(pa.int64()), pa.array(n), pa.array(n > limit)], names)
 
-    return d.mapInArrow(count, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return d.mapInArrow(trimmed(count), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
