@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,20 +80,12 @@ EVENT_HEADER = Record(
 FOUR_VECTOR = Record("four_vector", (("_head", "V32"), ("x", "f8"), ("y", "f8"), ("z", "f8"), ("t", "f8")), order=("t", "x", "y", "z"))
 
 
-class Registry:
-    """Class names to decoders, as a reader looks them up."""
+class Registry(dict[str, Record]):
+    """Class names, or Class.member, to the records that their cells hold, as `datasource.read` takes them."""
 
-    def __init__(self) -> None:
-        self._known: dict[str, Record | Callable] = {}
-
-    def add(self, name: str, decoder: Record | Callable) -> None:
-        self._known[name] = decoder
-
-    def __contains__(self, name: str) -> bool:
-        return name in self._known
-
-    def __getitem__(self, name: str) -> Record | Callable:
-        return self._known[name]
+    def add(self, name: str, record: Record) -> Registry:
+        self[name] = record
+        return self
 
 
 def split_records(c: str | Column, record: Record) -> Column:

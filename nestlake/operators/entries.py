@@ -121,4 +121,5 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 
 def row_hash(*columns: str) -> Column:
+    """A number that equal rows share."""
     return F.xxhash64(*columns)

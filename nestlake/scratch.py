@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import SparkSession
 
 #: Where they lie if the session names none and all runs on one machine.
@@ -19,5 +21,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return f"file://{LOCAL}"
 
 
+def _remove(path: str) -> None:
+    try:
+        fs, top = pyarrow.fs.FileSystem.from_uri(path)
+        if fs.get_file_info(top).type == pyarrow.fs.FileType.Directory:
+            fs.delete_dir(top)
+    except Exception:  # noqa: BLE001 - the store may be gone; the folder is then the cluster's to clear
+        pass
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own, removed when the driver ends."""
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, path)
+    return path

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from nestlake.functions.structs import Record
+from nestlake.functions.structs import Record, stacked
 from nestlake.operators.select import Selector, chosen, normalized
 
 from . import ntuple, ntuple_write
@@ -112,7 +112,7 @@ class Options:
                 fields = [T.StructField(p.name, p.layout.spark_type(), False, {"fixed_len": p.layout.fixed} if p.layout.fixed > 1 else {}) for p in plans]
             else:
                 fields = [T.StructField(n, x.dataType, x.nullable, x.metadata) for (_, n), x in zip(names, found.schema([p for p, _ in names]), strict=True)]
-            return T.StructType([*own, *fields])
+            return stacked(own, T.StructType(fields))
 
     def spans(self) -> list[Span]:
         out, shift = [], 0

@@ -315,7 +315,7 @@ def test_trees_by_spark(spark, tmp_path):
     assert [r["jag"] for r in rows] == WANT["jag"] and [r["Fix"] for r in rows] == WANT["fix"] and [r["text"] for r in rows] == WANT["text"]
     two = datasource.read(spark, [f.path, f.path], "nt", entry=True)
     assert two.count() == 20 and two.agg({"__entry": "max"}).first()[0] == 19 and two.columns == ["__entry", "x", "y", "z"]
-    hits = datasource.read(spark, f.path, "t", "Event/hits", custom={"Event.hits": structs.HIT})
+    hits = datasource.read(spark, f.path, "t", "Event/hits", custom=structs.Registry().add("Event.hits", structs.HIT))
     assert hits.selectExpr("sum(size(Event_hits))").first()[0] == 90
     part = datasource.read(spark, f.path, "t", ["i"], rows=(2, 8), chunk=True)
     assert [tuple(r) for r in part.orderBy("i").collect()] == [(0, k) for k in range(2, 6)] + [(1, 6), (1, 7)]

@@ -141,3 +141,15 @@ def test_records_and_vectors(spark):
     assert m == [[1.0, 2.0, 3.0], [2.0, 4.0, 5.0], [3.0, 5.0, 6.0]]
     u = spark.createDataFrame([(0,), (1,), (2,)], "t int").select(structs.variant(F.col("t"), {"_0": F.lit(5), "_1": F.lit("x")}).alias("v"))
     assert [tuple(r["v"]) for r in u.collect()] == [(0, None, None), (1, 5, None), (2, None, "x")]
+
+
+def test_hashes_and_equality(spark):
+    df = spark.createDataFrame([(1, "a", [1]), (1, "a", [1]), (2, "a", None)], "i int, s string, x array<int>")
+    h = [r[0] for r in df.select(entries.row_hash("i", "s", "x")).collect()]
+    assert h[0] == h[1] != h[2]
+    assert entries.same_rows(df, df.orderBy("i")) and not entries.same_rows(df, df.distinct())
+
+
+def test_members_of_structs_in_cells(spark):
+    df = spark.sql("select array(struct(1 a, 'x' b), struct(2 a, 'y' b)) c")
+    assert df.select(jagged.member("c", "a").alias("a"), jagged.member("c", "b").alias("b")).first() == ([1, 2], ["x", "y"])
