@@ -9,7 +9,9 @@ equal anchors, so the windows of one anchor form a cell, and cells meet by the h
    array. A stack finds its intervals of a common prefix of LENGTH or more, which are the groups of repeats with all occurrences;
    those that can't be extended to the left decide what goes.
 
-What tasks send each other is packed by part of the hash: a few bytes for each anchor.
+What tasks send each other is packed by part of the hash: a few bytes for each anchor. Before that a task settles the cells that equal one of
+a smaller doc_id at hand, so that copies send little. The cells of a hot anchor (one that a large share of the texts at hand has, or very
+many texts in all) don't meet: each of its windows goes by its own hash, and equal ones at hand are settled first.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ PACK_BYTES, GROUP_ANCHORS = 12_000_000, 1_000_000
 LEAST_PARTS = 64
 #: Bytes of text in which a task looks at open cells at once; bytes of cells of one suffix array, about.
 OPEN_BYTES, ARRAY_BYTES = 3_000_000, 1_500_000
+#: An anchor is hot if a task has more different cells of it than HOT_LOCAL and than an eighth of its texts, or if HOT_CELLS meet. This only routes.
+HOT_LOCAL, HOT_CELLS = 256, 100_000
 _U = np.uint64
 
 
@@ -248,13 +252,47 @@ def _marks(doc: np.ndarray, tag: np.ndarray, mark: np.ndarray):
     return pa.table([pa.array(doc[begin]), pa.array(tag[begin]), lists], ["doc_id", "tag", "marks"])
 
 
+def _outdone(value: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which rows have a value that a row of a smaller doc has too."""
+    if not len(value):
+        return np.zeros(0, bool)
+    order = np.argsort(value)
+    begin = np.flatnonzero(np.append(True, value[order][1:] != value[order][:-1]))
+    least = np.minimum.reduceat(doc[order], begin)
+    out = np.zeros(len(value), bool)
+    out[order] = doc[order] > np.repeat(least, np.diff(np.append(begin, len(value))))
+    return out
+
+
+def _often(value: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have a value that more than `most` rows have, and which are the first of such a value."""
+    _, first, which, count = np.unique(value, return_index=True, return_inverse=True, return_counts=True)
+    often = count[which] > most
+    return often, often & (first[which] == np.arange(len(value)))
+
+
+def _own_marks(doc: np.ndarray, mark: np.ndarray, ids: np.ndarray, tags: np.ndarray, parts: int):
+    """(part, blob) with marks that are settled already. Their parts are negative and follow from the ids, so a task run again sends the same."""
+    own, ordinal = np.unique(doc, return_inverse=True)
+    part = -1 - int(_part_of(mix(ids[own[:1]].astype(_U)), parts)[0])
+    return part, _pack([ordinal.astype("<u4"), mark.astype("<i8"), ids[own].astype("<i8"), tags[own].astype("<i8")])
+
+
+def _read_own(table: pa.Table) -> pa.Table:
+    out = []
+    for blob in table.column("blob").to_pylist():
+        ordinal, mark, ids, tags = _unpack(blob, ["<u4", "<i8", "<i8", "<i8"])
+        out.append(_marks(ids[ordinal], tags[ordinal], mark))
+    return pa.concat_tables(out)
+
+
 MARKS = "doc_id long, tag long, marks array<long>"
 _CELLS = ["<u4", "u1", "<u4", "<u4", "<u4", "u1", "<i8", "<i8"]
 _WINDOWS = ["<u2", "<u4", "<u4", "u1", "u1", "<i8", "<i8"]
 
 
-def _settled(docs: DataFrame, parts: int) -> DataFrame:
-    """Marks 256 * first window + 2 * windows + open: cells to remove (open 0), and cells to look at window by window (open 1)."""
+def _settled(docs: DataFrame, parts: int, hot_local: int, hot_cells: int) -> DataFrame:
+    """Marks 256 * first window + 128 * hot + 2 * windows + open: cells to remove (open 0), and cells to look at window by window (open 1)."""
 
     def send(batches):
         held, size = [], 0
@@ -263,6 +301,14 @@ def _settled(docs: DataFrame, parts: int) -> DataFrame:
             ids, tags = (np.concatenate([x[i] for x in held]) for i in (0, 1))
             shift = np.cumsum([0] + [len(x[0]) for x in held])
             h, cell, doc, lo, count = (np.concatenate([x[2][i] + (s if i == 2 else 0) for x, s in zip(held, shift[:-1], strict=True)]) for i in range(5))
+            gone = _outdone(cell, ids[doc])
+            hot, first = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            hot[~gone], first[~gone] = _often(h[~gone], max(hot_local, len(ids) // 8))
+            here = gone | (hot & ~first)
+            if here.any():
+                yield _own_marks(doc[here], (lo[here] << 8) + 2 * count[here] + np.where(gone[here], 0, 129), ids, tags, parts)
+            count = count + 128 * first  # one cell tells the others of its anchor
+            h, cell, doc, lo, count = (x[~here] for x in (h, cell, doc, lo, count))
             high = h >> _U(24)
             for part, rows in _by_part(_part_of(h, parts), high):
                 own, ordinal = np.unique(doc[rows], return_inverse=True)
@@ -284,6 +330,8 @@ def _settled(docs: DataFrame, parts: int) -> DataFrame:
             yield batch_of(flush())
 
     def settle(table: pa.Table) -> pa.Table:
+        if table.column("part")[0].as_py() < 0:
+            return _read_own(table)
         got, base = [], 0
         for blob in table.column("blob").to_pylist():
             low, high, cell, ordinal, lo, count, ids, tags = _unpack(blob, _CELLS)
@@ -300,10 +348,12 @@ def _settled(docs: DataFrame, parts: int) -> DataFrame:
         new_c[1:] |= cell[1:] != cell[:-1]
         at_h, at_c = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
         begin = np.flatnonzero(new_h)
-        several = (np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)) & (np.bincount(at_h[new_c]) > 1)
+        differ = np.bincount(at_h[new_c])
+        hot = np.logical_or.reduceat(count > 127, begin) | (differ > hot_cells)
+        several = (np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)) & (differ > 1)
         gone = doc[np.flatnonzero(new_c)][at_c] < doc
-        use = gone | several[at_h]
-        mark = (lo[use].astype(np.int64) << 8) + 2 * count[use] + ~gone[use]
+        use = gone | (several | hot)[at_h]
+        mark = (lo[use].astype(np.int64) << 8) + 2 * (count[use].astype(np.int64) & 127) + np.where(gone[use], 0, 1 + 128 * hot[at_h[use]])
         return _marks(doc[use], tags[row[use]], mark)
 
     blobs = docs.mapInArrow(trimmed(send), "part int, blob binary")
@@ -321,7 +371,10 @@ def _opened(docs: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
                 own = b.column(3).slice(lo, hi - lo)
                 mark = own.flatten().to_numpy()
                 doc = np.repeat(np.arange(hi - lo), pc.list_value_length(own).to_numpy())
-                at, count = mark >> 8, (mark & 255) >> 1
+                at, count, hot = mark >> 8, (mark & 127) >> 1, (mark & 128) > 0
+                n = np.where(hot, count, 1)  # windows of hot anchors go one by one
+                doc, count, hot = np.repeat(doc, n), np.repeat(np.where(hot, 1, count), n), np.repeat(hot, n)
+                at = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 first = off[doc] + at
                 p, q = powers(len(data))
                 prefix = np.zeros(len(data) + 1, _U)
@@ -330,7 +383,14 @@ def _opened(docs: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
                 for j in range(LENGTH - K + 1):
                     i = first + j
                     h = np.minimum(h, mix((prefix[i + K] - prefix[i]) * q[i]))
+                i = first[hot]
+                h[hot] = mix(mix((prefix[i + LENGTH] - prefix[i]) * q[i]))
+                gone = np.zeros(len(h), bool)
+                gone[hot] = _outdone(h[hot], ids[lo:hi][doc[hot]])
                 out = []
+                if gone.any():
+                    out.append(_own_marks(doc[gone], (at[gone] << 8) + 2, ids[lo:hi], tags[lo:hi], parts))
+                    doc, at, count, first, h = (x[~gone] for x in (doc, at, count, first, h))
                 for part, rows in _by_part(_part_of(h, parts), h):
                     docs_of, ordinal = np.unique(doc[rows], return_inverse=True)
                     size = count[rows] - 1 + LENGTH
@@ -339,6 +399,8 @@ def _opened(docs: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
                 yield pa.record_batch([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["part", "blob"])
 
     def settle(table: pa.Table) -> pa.Table:
+        if table.column("part")[0].as_py() < 0:
+            return _read_own(table)
         got, base = [], 0
         for blob in table.column("blob").to_pylist():
             some, ordinal, at, count, text, ids, tags = _unpack(blob, _WINDOWS)
@@ -379,14 +441,14 @@ def _opened(docs: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
     return materialize(blobs.groupBy("part").applyInArrow(settle, MARKS), "windows")
 
 
-def _cleaned(docs: DataFrame) -> DataFrame:
+def _cleaned(docs: DataFrame, hot_local: int = HOT_LOCAL, hot_cells: int = HOT_CELLS) -> DataFrame:
     """For rows (doc_id, text): doc_id, kept (binary), n_bytes, n_removed, n_spans."""
     spark = docs.sparkSession
     d = docs.withColumn("tag", F.xxhash64("text")).select("doc_id", "tag", "text")
     size = d.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(LEAST_PARTS, int(size * 0.075 / GROUP_ANCHORS) + 1)
     full = d.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    marks = _settled(full, parts)
+    marks = _settled(full, parts, hot_local, hot_cells)
     release(spark)
     windows = _opened(full, marks, parts)
     release(spark)

@@ -105,6 +105,13 @@ def test_substrings(docs, rows):
     assert got == sorted(cut_substrings(rows), key=str)
 
 
+@pytest.mark.parametrize("hot", [(0, 100_000), (256, 0), (2, 1)])
+def test_substrings_of_hot_anchors(docs, rows, hot):
+    got = suffixes._cleaned(docs.select("doc_id", "text"), *hot).collect()
+    got = sorted(((r[0], *r[2:], hashlib.sha256(r[1]).hexdigest()) for r in got), key=str)
+    assert got == sorted(cut_substrings(rows), key=str)
+
+
 def test_maximal_repeats():
     assert suffixes.maximal_repeats([], 2) == []
     rng = np.random.default_rng(3)
