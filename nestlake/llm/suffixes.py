@@ -16,6 +16,8 @@ many texts in all) don't meet: each of its windows goes by its own hash, and equ
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,11 +29,13 @@ from .shared import BYTE_WORDS, materialize, mix, pieces, powers, release, text_
 
 LENGTH, K = 50, 24
 #: Bytes of text whose anchors a task packs at once; anchors that meet in one group, about.
-PACK_BYTES, GROUP_ANCHORS = 12_000_000, 1_000_000
+PACK_BYTES, GROUP_ANCHORS = 8_000_000, 700_000
 LEAST_PARTS = 64
 #: Bytes of text in which a task looks at open cells at once; bytes of cells of one suffix array, about.
 OPEN_BYTES, ARRAY_BYTES = 3_000_000, 1_500_000
-#: An anchor is hot if a task has more different cells of it than HOT_LOCAL and than an eighth of its texts, or if HOT_CELLS meet. This only routes.
+#: Places of repeat groups that are gone through at once.
+PLACES = 300_000
+#: An anchor is hot if a task has more different cells of it than HOT_LOCAL and than a quarter of its texts, or if HOT_CELLS meet. This only routes.
 HOT_LOCAL, HOT_CELLS = 256, 100_000
 _U = np.uint64
 
@@ -165,12 +169,15 @@ def repeat_groups(text: np.ndarray, sizes: np.ndarray, counts: np.ndarray, doc:
         d = doc[cell][own]
         # pairs of places for reduceat; every second result is that of an interval
         least = np.minimum.reduceat(np.append(d, np.iinfo(np.int64).max), np.column_stack([a, b]).ravel())[::2]
-        size = b - a
-        place = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        late = d[place] > np.repeat(least, size)
-        first, more = own[place[late]], np.repeat(length, size)[late] - LENGTH + 1
-        np.add.at(gone, first, 1)
-        np.add.at(gone, first + more, -1)
+        # intervals lie within others, so all their places together may be very many: some at once
+        batch = np.cumsum(b - a) // PLACES
+        for i, j in pairwise([*np.flatnonzero(np.diff(batch, prepend=-1)).tolist(), len(a)]):
+            size = (b - a)[i:j]
+            place = np.repeat(a[i:j] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            late = d[place] > np.repeat(least[i:j], size)
+            first, more = own[place[late]], np.repeat(length[i:j], size)[late] - LENGTH + 1
+            np.add.at(gone, first, 1)
+            np.add.at(gone, first + more, -1)
     return np.cumsum(gone[:-1]) > 0
 
 
@@ -301,9 +308,10 @@ def _settled(docs: DataFrame, parts: int, hot_local: int, hot_cells: int) -> Dat
             ids, tags = (np.concatenate([x[i] for x in held]) for i in (0, 1))
             shift = np.cumsum([0] + [len(x[0]) for x in held])
             h, cell, doc, lo, count = (np.concatenate([x[2][i] + (s if i == 2 else 0) for x, s in zip(held, shift[:-1], strict=True)]) for i in range(5))
+            held.clear()
             gone = _outdone(cell, ids[doc])
             hot, first = np.zeros(len(h), bool), np.zeros(len(h), bool)
-            hot[~gone], first[~gone] = _often(h[~gone], max(hot_local, len(ids) // 8))
+            hot[~gone], first[~gone] = _often(h[~gone], max(hot_local, len(ids) // 4))
             here = gone | (hot & ~first)
             if here.any():
                 yield _own_marks(doc[here], (lo[here] << 8) + 2 * count[here] + np.where(gone[here], 0, 129), ids, tags, parts)
