@@ -35,7 +35,8 @@ LEAST_PARTS = 64
 OPEN_BYTES, ARRAY_BYTES = 3_000_000, 1_500_000
 #: Places of repeat groups that are gone through at once.
 PLACES = 300_000
-#: An anchor is hot if a task has more different cells of it than HOT_LOCAL and than a quarter of its texts, or if HOT_CELLS meet. This only routes.
+#: An anchor is hot if, of the texts that a task has at hand, over HOT_LOCAL and over a quarter have it in cells of their own, or if over HOT_CELLS
+#: different cells meet. This only routes.
 HOT_LOCAL, HOT_CELLS = 256, 100_000
 _U = np.uint64
 
@@ -271,11 +272,18 @@ def _outdone(value: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _often(value: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows have a value that more than `most` rows have, and which are the first of such a value."""
-    _, first, which, count = np.unique(value, return_index=True, return_inverse=True, return_counts=True)
-    often = count[which] > most
-    return often, often & (first[which] == np.arange(len(value)))
+def _often(value: np.ndarray, doc: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have a value that more than `most` docs have, and which are the first of such a value."""
+    often, leads = np.zeros(len(value), bool), np.zeros(len(value), bool)
+    order = np.argsort(value)
+    begin = np.flatnonzero(np.append(True, value[order][1:] != value[order][:-1])) if len(value) else order
+    rows = np.diff(np.append(begin, len(value)))
+    for b, n in zip(begin[rows > most].tolist(), rows[rows > most].tolist(), strict=True):
+        own = order[b : b + n]
+        if len(np.unique(doc[own])) > most:
+            often[own] = True
+            leads[own.min()] = True
+    return often, leads
 
 
 def _own_marks(doc: np.ndarray, mark: np.ndarray, ids: np.ndarray, tags: np.ndarray, parts: int):
@@ -311,7 +319,7 @@ def _settled(docs: DataFrame, parts: int, hot_local: int, hot_cells: int) -> Dat
             held.clear()
             gone = _outdone(cell, ids[doc])
             hot, first = np.zeros(len(h), bool), np.zeros(len(h), bool)
-            hot[~gone], first[~gone] = _often(h[~gone], max(hot_local, len(ids) // 4))
+            hot[~gone], first[~gone] = _often(h[~gone], doc[~gone], max(hot_local, len(ids) // 4))
             here = gone | (hot & ~first)
             if here.any():
                 yield _own_marks(doc[here], (lo[here] << 8) + 2 * count[here] + np.where(gone[here], 0, 129), ids, tags, parts)
@@ -397,7 +405,9 @@ def _opened(docs: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
                 gone[hot] = _outdone(h[hot], ids[lo:hi][doc[hot]])
                 out = []
                 if gone.any():
-                    out.append(_own_marks(doc[gone], (at[gone] << 8) + 2, ids[lo:hi], tags[lo:hi], parts))
+                    place, of = at[gone], doc[gone]
+                    run = np.flatnonzero(np.append(True, (place[1:] != place[:-1] + 1) | (of[1:] != of[:-1]) | (np.arange(1, len(of)) % 32 == 0)))
+                    out.append(_own_marks(of[run], (place[run] << 8) + 2 * np.diff(np.append(run, len(of))), ids[lo:hi], tags[lo:hi], parts))
                     doc, at, count, first, h = (x[~gone] for x in (doc, at, count, first, h))
                 for part, rows in _by_part(_part_of(h, parts), h):
                     docs_of, ordinal = np.unique(doc[rows], return_inverse=True)
