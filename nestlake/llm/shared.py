@@ -147,6 +147,17 @@ def trimmed(run):
     return work
 
 
+def trimmed_group(run):
+    """A function for applyInArrow that gives memory back after each group."""
+
+    def work(table):
+        out = run(table)
+        give_back()
+        return out
+
+    return work
+
+
 def pieces(col: pa.Array, most: int = 500_000):
     """(first row, row after the last, bytes, offsets) for runs of rows with about `most` bytes; a longer row comes alone."""
     drop_caches()

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BYTE_WORDS, materialize, mix, pieces, powers, release, text_buffers, trimmed
+from .shared import BYTE_WORDS, materialize, mix, pieces, powers, release, text_buffers, trimmed, trimmed_group
 
 LENGTH, K = 50, 24
 #: Bytes of text whose anchors a task packs at once; anchors that meet in one group, about.
@@ -373,7 +373,7 @@ def _settled(docs: DataFrame, parts: int, hot_local: int, hot_cells: int) -> Dat
         return _marks(doc[use], tags[row[use]], mark)
 
     blobs = docs.mapInArrow(trimmed(send), "part int, blob binary")
-    marks = blobs.groupBy("part").applyInArrow(settle, MARKS)
+    marks = blobs.groupBy("part").applyInArrow(trimmed_group(settle), MARKS)
     return materialize(marks.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("marks")).alias("marks")), "marks")
 
 
@@ -456,7 +456,7 @@ def _opened(docs: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
     open_ = marks.select("doc_id", "tag", F.filter("marks", lambda x: x.bitwiseAND(1) == 1).alias("marks")).where(F.size("marks") > 0)
     d = docs.join(open_, ["doc_id", "tag"]).select("doc_id", "tag", "text", "marks").dropDuplicates(["doc_id", "tag"])
     blobs = d.mapInArrow(trimmed(send), "part int, blob binary")
-    return materialize(blobs.groupBy("part").applyInArrow(settle, MARKS), "windows")
+    return materialize(blobs.groupBy("part").applyInArrow(trimmed_group(settle), MARKS), "windows")
 
 
 def _cleaned(docs: DataFrame, hot_local: int = HOT_LOCAL, hot_cells: int = HOT_CELLS) -> DataFrame:
