@@ -310,6 +310,31 @@ def test_mixing_of_odd_tables(spark):
         mixing.pfair_mix(df, {"a": 0})
 
 
+def test_sources_beyond_those_the_driver_names_keep_their_own_slots(spark):
+    cut = "case when id % 3 = 0 then 'hot' when id % 50 = 1 then null else concat('s', cast(pow(id % 977, 0.5) as int)) end"
+    df = spark.range(1500).selectExpr("id doc_id", f"{cut} source")
+    weights = {"hot": 2.5, "": 1, "s3": 1, "s17": 0.5, "none": 4, "s20": Fraction(1, 3)}
+    for options in ({}, {"temperature": 0.0}, {"weights": weights}):
+        got = [sorted(map(tuple, mixing.pfair_mix(df, block=2, own_sources=n, **options).collect()), key=str) for n in (1 << 16, 3)]
+        assert got[0] == got[1]
+        slots = {}
+        for _, source, _, slot, _, _ in got[1]:
+            if slot is not None:
+                slots.setdefault(slot, set()).add(source or "")
+        n = {}
+        for r in got[1]:
+            n[r[1] or ""] = n.get(r[1] or "", 0) + 1
+        own = options.get("weights") or {k: Fraction(max(1, round(v ** options.get("temperature", 0.7) * 1000)), 1000) for k, v in n.items()}
+        own = {k: Fraction(str(w)) for k, w in own.items() if k in n}
+        assert [{k} for k in plain_schedule({k: -(-n[k] // 2) for k in own}, own)] == [slots[i] for i in range(len(slots))]
+
+
+def test_a_schedule_of_many_sources():
+    names = [f"s{i:05}" for i in range(20_000)]
+    order, mixed = mixing.schedule(dict.fromkeys(names, 2), dict.fromkeys(names, 1))
+    assert sorted(order) == sorted(names * 2) and order[:20_001] == [*names, names[0]] and mixed >= len(order) - 2
+
+
 def test_pipeline(spark, tok):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rows, _ = lang_rows()
