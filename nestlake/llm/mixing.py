@@ -180,7 +180,7 @@ def pfair_mix(docs: DataFrame, weights: Mapping[str, float | Fraction] | None =
     A source without a weight gets no slot: slot and place are null and mixed false. Repeated rows are documents of their
     own; those of one source and key come one after another, in no set order; null keys are allowed. A null source counts as ''. An empty table gives none. The four columns replace any of the same name in docs.
     Every source has a weight and slots of its own, however many there are. The driver sees a slot for each block and a count and a rank of weight for each
-    source: some 80 bytes each; names of over `own_sources` sources stay on the executors.
+    source; names of over `own_sources` sources stay on the executors.
     """
     s, _ = scheduled(docs, weights, **options)
     return s.select(*[F.col("row")[n].alias(n) for n in others(docs.columns, ADDED)], *ADDED)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import uuid
 from contextlib import contextmanager
 
@@ -72,6 +73,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Of a place, the bits for the row within its part.
+PLACE_BITS = 40
+
+
+def placed(df: DataFrame, names: list[str]) -> tuple[DataFrame, int]:
+    """These columns of df with `place`, which grows by part and by row within it; and the number of parts. place holds the part above PLACE_BITS bits.
+
+    A reader of Parquet deals files out by size, so the order that they were written in is taken from their names and row numbers. What isn't read
+    straight from files of Spark's writers is written first.
+    """
+
+    def files(d: DataFrame) -> list[str]:
+        return [f.rsplit("/", 1)[-1] for f in d.inputFiles()]
+
+    part = re.compile(r"part-(\d+)-[\w.-]+")
+    found = files(df) if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" else [""]
+    if len(set(found)) < len(found) or not all(part.fullmatch(f) for f in found):
+        df = materialize(df, "in_order")
+        found = files(df)
+    found.sort(key=lambda f: (int(part.fullmatch(f)[1]), f))
+    at = df.metadataColumn("_metadata")
+    d = df.select(*quoted(names), at["file_name"].alias("file_name"), at["row_index"].alias("row_index"))
+    order = df.sparkSession.createDataFrame(list(enumerate(found)), "part long, file_name string")
+    d = d.join(F.broadcast(order), "file_name")
+    return d.select(*quoted(names), (F.shiftleft("part", PLACE_BITS) + F.col("row_index")).alias("place")), max(1, len(found))
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

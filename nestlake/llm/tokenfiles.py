@@ -2,7 +2,8 @@
 
 Every file of ids holds record batches of two columns, `ids` (fixed-size list of uint16 or uint32) and `mask`
 (fixed-size list of bool, false in the padding at a file's end), so sequence i is a slice of a mapped buffer: nothing is copied
-or decoded. Beside it lies a file of the documents in it: doc_id, first id (within the file) and number of ids.
+or decoded. Beside it lies a file of the documents in it: doc_id, first id (within the file), number of ids and, where
+the documents have an order of their own, place in it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, new_folder, trimmed
+from .shared import PLACE_BITS, materialize, new_folder, placed, trimmed
 from .tokens import encode_text, pieces_of
 
 #: Ids in a sequence, sequences in a record batch.
@@ -74,19 +75,23 @@ class _Sequences:
         self.writer.close()
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, length: int = SEQUENCE, key: str = "doc_id", text: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, length: int = SEQUENCE, key: str = "doc_id", text: str = "text", place: str | None = None) -> DataFrame:
     """Encode every whole text, append end_id, and write the ids in ascending order of key; returns the manifest.
 
     The manifest has a row per file, in the order of the ids: part, path, n_docs, n_tokens. Ids of a file run
     on from sequence to sequence; the last one is padded and masked. `folder` (None: a fresh one in the shared checkpoint
     folder) must be a URI that every executor reaches. A file's name has its task attempt in it, and only the attempt that
     Spark takes is in the manifest, so lost executors and repeated tasks do no harm.
-    A null text is empty; null keys come first; rows of equal key go by text; other columns aren't read.
+    A null text is empty; null keys come first; rows of equal key go by text; other columns aren't read. `place` (None: there is none) names
+    a column of whole numbers, by which documents are to be read: it goes into the files' lists of documents.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
-    d = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    d = d.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    own = [docs[place].cast("long").alias("place")] if place else []
+    index_schema = INDEX.append(pa.field("place", pa.int64())) if place else INDEX
+    d = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"), *own)
+    d = d.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    d = d.sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in d.columns])
 
     def write(batches):
         pieces = pieces_of(tokenizer)
@@ -101,7 +106,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
                 fs.create_dir(top, recursive=True)
                 name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}"
                 sinks = [fs.open_output_stream(f"{top}/{name}.{kind}.arrow") for kind in ("ids", "docs")]
-                out, index = _Sequences(sinks[0], pieces.dtype, length), pa.ipc.new_file(sinks[1], INDEX)
+                out, index = _Sequences(sinks[0], pieces.dtype, length), pa.ipc.new_file(sinks[1], index_schema)
             first = out.n
             n = np.empty(len(b), np.int64)
             for i, t in enumerate(b.column(1)):
@@ -109,7 +114,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
                 n[i] = len(ids) // pieces.dtype.itemsize
                 out.add(ids)
             at = first + np.concatenate([[0], np.cumsum(n)[:-1]])
-            index.write_batch(pa.record_batch([b.column(0), pa.array(at), pa.array(n)], schema=INDEX))
+            index.write_batch(pa.record_batch([b.column(0), pa.array(at), pa.array(n), *b.columns[2:]], schema=index_schema))
             docs_n += len(b)
         if out is not None:
             out.close()
@@ -142,7 +147,7 @@ class TokenFile:
 
 
 def _documents(path: str):
-    """(doc_id column, first ids, counts, ids of each document) for the batches of the file's documents."""
+    """(the columns of the list of documents, ids of each document) for the batches of that list."""
     ids, index = _open(f"{path}.ids.arrow"), _open(f"{path}.docs.arrow")
     held, held_at, b = np.zeros(0, np.uint16), 0, 0
     for k in range(index.num_record_batches):
@@ -158,29 +163,40 @@ def _documents(path: str):
             if len(parts) > 1:
                 held, held_at = np.concatenate(parts), at
             own.append(held[at - held_at : at - held_at + m])
-        yield batch.column(0), first, n, own
+        yield batch.columns, own
 
 
-def read_token_files(manifest: DataFrame) -> DataFrame:
-    """One row per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+def read_token_files(manifest: DataFrame, with_place: bool = False) -> DataFrame:
+    """One row per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32; place too if it was written and is asked for.
 
     ids_crc32 is the unsigned CRC-32 of its ids as little-endian unsigned 32-bit integers. An empty manifest gives no row.
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     m = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("part", "path", "base")
     m = m.repartition(max(1, manifest.count()))  # a task per file; without a number, adaptive execution puts all in one
-    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "place"][: 5 if with_place else 4]
 
     def read(batches):
         for b in batches:
             for path, base in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                for doc, first, n, own in _documents(path):
+                for (doc, first, n, *place), own in _documents(path):
                     crc = np.fromiter((zlib.crc32(x.astype("<u4").tobytes()) for x in own), np.int64, len(own))
-                    yield pa.record_batch([doc, pa.array(first + base), pa.array(n), pa.array(crc)], names)
+                    yield pa.record_batch([doc, pa.array(first.to_numpy() + base), n, pa.array(crc), *place[: len(names) - 4]], names)
 
-    return m.mapInArrow(trimmed(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return m.mapInArrow(trimmed(read), ", ".join(f"{c} long" for c in names))
 
 
 def token_files(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Write docs with `write_token_files` and read the files back."""
     return read_token_files(write_token_files(docs, tokenizer, **options))
+
+
+def token_files_in_order(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """`token_files`, whose rows come in the order of docs: by part, and by row within it (`shared.placed`). The files list each document's place in that order.
+
+    The ids themselves lie in ascending order of key; start and n_tokens of one row after another give them in the order of docs.
+    """
+    d, parts = placed(docs, [key, text])
+    rows = read_token_files(write_token_files(d, tokenizer, key=key, text=text, place="place", **options), with_place=True)
+    rows = rows.repartitionById(parts, F.shiftright("place", PLACE_BITS).cast("int")).sortWithinPartitions("place")
+    return rows.drop("place")

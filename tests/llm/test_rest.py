@@ -402,3 +402,28 @@ def test_a_hot_source_is_kept_whole(spark):
     assert out.columns == docs.columns and sorted(got) == list(range(402))
     place = {r["doc_id"]: r["place"] for r in mixing.pfair_mix(docs).collect()}
     assert [place[i] for i in got] == sorted(place.values())
+
+
+def test_the_mixture_orders_what_follows_it(spark, tok, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/tmp/checkpoints/mixture-order-test"
+    words = "water house green seven paper light mouth stone river table".split()
+    text = {i: " ".join(f"{words[(i * 7 + j * 3) % 10]}{i * j}" for j in range(12)) for i in range(300)}
+    docs = [(i if i < 299 else None, t, "en", "hot" if i % 3 else f"s{i % 5}", 0) for i, t in text.items()]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.mode("overwrite").parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(0, None)], "item_id long, text string").write.mode("overwrite").parquet(f"{sf}/benchmark.parquet")
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    place = {r["doc_id"]: r["place"] for r in mixing.pfair_mix(d).collect()}
+    mixed = sorted(place, key=place.get)
+    at, start = 0, {}
+    for i in sorted(place, key=lambda i: (i is not None, i)):
+        start[i] = at
+        at += len(ids_of(tok, text[299 if i is None else i])) + 1
+    found = []
+    write = tokenfiles.write_token_files
+    monkeypatch.setattr(tokenfiles, "write_token_files", lambda *a, **b: found.append(write(*a, **b)) or found[-1])
+    for out in (corpus_pipeline.run(spark, sf), corpus_pipeline.write_tokens(spark, corpus_pipeline.mix_sources(spark, d, sf), sf)):
+        assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+        assert [(r["doc_id"], r["start"]) for r in out.collect()] == [(i, start[i]) for i in mixed]
+        listed = [x for r in found[-1].collect() for x in tokenfiles._open(r["path"] + ".docs.arrow").read_all().to_pylist()]
+        assert [x["doc_id"] for x in sorted(listed, key=lambda x: x["place"])] == mixed
