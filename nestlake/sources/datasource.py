@@ -1,4 +1,4 @@
-"""The container as a source and sink of Spark: a partition for each cluster or range of baskets, of which a task reads the chosen columns alone."""
+"""The container as a source and sink of Spark: a task reads the chosen columns alone of neighbouring clusters or ranges of baskets, one at a time."""
 
 from __future__ import annotations
 
@@ -27,6 +27,8 @@ from .tree import Plan, Tree, read_entries
 FORMAT, ENTRY, CHUNK, ENDING = "nestlake", "__entry", "__chunk", ".root"
 #: Rows of a batch that a task hands to Spark.
 BATCH = 65_536
+#: Stored bytes of a task's spans: a share of the whole, within these bounds. A span isn't cut, so it may have more.
+TASKS, LEAST, MOST = 96, 64 << 10, 32 << 20
 
 
 def _paths(path: str) -> list[str]:
@@ -52,6 +54,27 @@ class Span(InputPartition):
     shift: int
     chunk: int
     what: object = None
+    nbytes: int = 0
+
+
+@dataclass
+class Spans(InputPartition):
+    """Neighbouring spans, which one task reads in turn."""
+
+    spans: list[Span]
+
+
+def grouped(spans: list[Span]) -> list[Spans]:
+    """Spans in tasks of several: small clusters don't cost a task each."""
+    most = min(max(sum(s.nbytes for s in spans) // TASKS, LEAST), MOST)
+    out, held = [], 0
+    for s in spans:
+        if not out or held + s.nbytes > most:
+            out.append(Spans([]))
+            held = 0
+        out[-1].spans.append(s)
+        held += s.nbytes
+    return out
 
 
 def custom_records(given: dict[str, Record] | None) -> str:
@@ -123,13 +146,14 @@ class Options:
                 if isinstance(found, Tree):
                     plans = [found.branches[p].plan(n, self.custom, self.raw) for p, n in names]
                     for a, b in found.ranges([p for p, _ in names]):
-                        out.append(Span(path, a, b, shift, len(out), [p.within(a, b) for p in plans]))
+                        own = [p.within(a, b) for p in plans]
+                        out.append(Span(path, a, b, shift, len(out), own, sum(c.nbytes or len(c.data or b"") for p in own for c in p.chunks)))
                 else:
                     by = {x.name: x for x in found.fields}
                     fields, needed = [by[p] for p, _ in names], found.needed([p for p, _ in names])
                     for c in found.clusters():
                         kept = ntuple.Cluster(c.first, c.n, tuple(p if i in needed else () for i, p in enumerate(c.pages)), c.group)
-                        out.append(Span(path, c.first, c.first + c.n, shift, len(out), (found.columns, fields, [n for _, n in names], kept)))
+                        out.append(Span(path, c.first, c.first + c.n, shift, len(out), (found.columns, fields, [n for _, n in names], kept), sum(p.nbytes for own in kept.pages for p in own)))
                 shift += found.entries
         for s in out:  # what lies outside of the rows asked for isn't read
             s.first = max(s.first, self.low - s.shift)
@@ -151,12 +175,14 @@ class ContainerReader(DataSourceReader):
     def __init__(self, options: Options, schema: T.StructType):
         self.options, self.names = options, schema.names
 
-    def partitions(self) -> list[Span]:
-        return self.options.spans() or [Span("", 0, 0, 0, 0)]
+    def partitions(self) -> list[Spans]:
+        return grouped(self.options.spans()) or [Spans([])]
+
+    def read(self, part: Spans) -> Iterator[pa.RecordBatch]:
+        for span in part.spans:
+            yield from self._batches(span)
 
-    def read(self, span: Span) -> Iterator[pa.RecordBatch]:
-        if span.last <= span.first:
-            return
+    def _batches(self, span: Span) -> Iterator[pa.RecordBatch]:
         names, arrays = _arrays(span)
         n = span.last - span.first
         if CHUNK in self.names:
@@ -273,7 +299,7 @@ def register(spark: SparkSession) -> None:
 def read(spark: SparkSession, path: str | list[str], object: str = "", selectors: Iterable[Selector] | Selector | None = None, entry: bool = False, chunk: bool = False, raw: bool = False, custom: dict[str, Record] | None = None, readers: dict[str, str] | None = None, rows: tuple[int, int | None] | None = None) -> DataFrame:
     """A tree or ntuple as a DataFrame. Only selected columns are read: Spark doesn't tell a Python source what it needs later, so select here.
 
-    path: a file, a list of files or a folder of them; entry: the row's number from 0 as `__entry`; chunk: its partition as `__chunk`;
+    path: a file, a list of files or a folder of them; entry: the row's number from 0 as `__entry`; chunk: the number of its cluster or range of baskets as `__chunk`;
     rows: only entries [first, last) of the whole, by reading no other chunks; raw: cells as bytes; custom: records for classes; readers: module:function for classes of top-level objects.
     """
     register(spark)

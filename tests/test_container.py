@@ -496,3 +496,21 @@ def test_branches_of_old_files():
     out.counted(8, body)
     b = objects.Reader().read(objects.Cursor(bytes(out.data)), "TBranch")
     assert (b["fName"], b["fEntries"], b["fZipBytes"], b["fBasketSeek"].tolist(), b["fFileName"]) == ("old", 3, 90, [1 << 40, 0], "f")
+
+
+def test_small_clusters_share_tasks(spark, tmp_path):
+    out = str(tmp_path / "out")
+    datasource.write(spark.range(5000, numPartitions=2), out, "nt", cluster=10)
+    got = datasource.read(spark, out, "nt", entry=True, chunk=True)
+    assert got.rdd.getNumPartitions() < 20 and got.select("__chunk").distinct().count() == 500
+    assert [tuple(r) for r in got.orderBy("__entry").collect()] == [(i, i // 10, i) for i in range(5000)]
+    some = datasource.read(spark, out, "nt", entry=True, chunk=True, rows=(1234, 4001))
+    assert [tuple(r) for r in some.orderBy("__entry").collect()] == [(i, i // 10, i) for i in range(1234, 4001)]
+
+
+def test_tasks_share_the_bytes():
+    spans = lambda n, size: [datasource.Span("", 0, 1, 0, i, None, size) for i in range(n)]
+    for n, size in ((0, 1), (1, 1 << 40), (100_000, 700), (20_000, 5000), (10_000, 1 << 20)):
+        parts = datasource.grouped(spans(n, size))
+        assert [s.chunk for p in parts for s in p.spans] == list(range(n))
+        assert len(parts) <= max(2 * datasource.TASKS, 2 * n * size / datasource.MOST) and all(len(p.spans) == 1 or len(p.spans) * size <= datasource.MOST for p in parts)
