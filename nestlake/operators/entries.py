@@ -37,6 +37,14 @@ def with_entry(df: DataFrame, *order_by: str, name: str = ENTRY, per_range: int
     return ranged.join(F.broadcast(starts), "__range").withColumn(name, (F.col("__nth") + F.col("__before")).cast("long")).drop("__range", "__before", "__nth")
 
 
+def in_parts(df: DataFrame, rows: int, *order_by: str, per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """df in the order of unique keys, nulls first, in partitions of exactly `rows` rows, of which the last may have fewer."""
+    n = max(1, -(-df.count() // rows))
+    e = with_entry(df, *order_by, name="__in_order", per_range=per_range)
+    part = F.floor((F.col("__in_order") - 1) / rows).cast("int")
+    return e.repartitionById(n, part).sortWithinPartitions("__in_order").select(*df.columns)
+
+
 def length(df: DataFrame) -> int:
     return df.count()
 

@@ -7,19 +7,21 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import hist
+from ..operators import entries, hist
 from ..scratch import fresh_folder
 from ..sources import build, datasource
 from ..sources.histograms import LAYOUTS, read_hist
 from .queries import EV, O, event_items, query, table
 
 CLUSTER = 700
+#: Rows of a file of ordered ntuples: full clusters, so that their numbers go on from file to file.
+FILE_ROWS = 1_000_000 // CLUSTER * CLUSTER
 
 
 def _kept(spark: SparkSession, df: DataFrame, name: str, key: str | None = None) -> str:
-    """The folder with df as ntuples; with a key, in its order and in one file."""
+    """The folder with df as ntuples; with a key, in its order from file to file."""
     folder = fresh_folder(spark, name)
-    datasource.write(df if key is None else df.repartitionByRange(1, key).sortWithinPartitions(key), folder, name, cluster=CLUSTER)
+    datasource.write(df if key is None else entries.in_parts(df, FILE_ROWS, key), folder, name, cluster=CLUSTER)
     return folder
 
 
@@ -62,7 +64,7 @@ def ntuple_rows(spark, sf_dir):
 
 @query(f"with {O} select (entry - 1) // {CLUSTER} chunk, count(*) n, min(entry) - 1 first, max(entry) - 1 last, min(o_orderkey) low from o group by 1")
 def ntuple_chunks(spark, sf_dir):
-    """The clusters of a file, with their rows."""
+    """The clusters of the files, with their rows."""
     folder = _kept(spark, table(spark, sf_dir, "orders").select("o_orderkey"), "orders", "o_orderkey")
     r = datasource.read(spark, folder, "orders", entry=True, chunk=True)
     return r.groupBy(F.col("__chunk").alias("chunk")).agg(F.count("*").alias("n"), F.min("__entry").alias("first"), F.max("__entry").alias("last"), F.min("o_orderkey").alias("low"))

@@ -153,3 +153,12 @@ def test_hashes_and_equality(spark):
 def test_members_of_structs_in_cells(spark):
     df = spark.sql("select array(struct(1 a, 'x' b), struct(2 a, 'y' b)) c")
     assert df.select(jagged.member("c", "a").alias("a"), jagged.member("c", "b").alias("b")).first() == ([1, 2], ["x", "y"])
+
+
+@pytest.mark.parametrize("per_range", [100, 10_000])
+@pytest.mark.parametrize("n", [0, 1, 70, 1001])
+def test_parts_of_equal_rows(spark, n, per_range):
+    df = spark.range(n).selectExpr("(id * 7919) % 1001 k", "id v").repartition(3)
+    parts = entries.in_parts(df, 70, "k", per_range=per_range).rdd.glom().collect()
+    rows = [tuple(r) for p in parts for r in p]
+    assert rows == sorted(tuple(r) for r in df.collect()) and all(len(p) == 70 for p in parts[:-1]) and (n == 0 or len(parts) == -(-n // 70))
