@@ -11,6 +11,7 @@ import pytest
 
 from nestlake.functions import structs
 from nestlake.operators import chain
+from nestlake.plans import container_queries
 from nestlake.sources import build as tree_build
 from nestlake.sources import byteranges, container, datasource, display, fits, histograms, ntuple, objects, tree
 from nestlake.sources.describe import Out
@@ -514,3 +515,13 @@ def test_tasks_share_the_bytes():
         parts = datasource.grouped(spans(n, size))
         assert [s.chunk for p in parts for s in p.spans] == list(range(n))
         assert len(parts) <= max(2 * datasource.TASKS, 2 * n * size / datasource.MOST) and all(len(p.spans) == 1 or len(p.spans) * size <= datasource.MOST for p in parts)
+
+
+def test_ordered_ntuples_take_a_task_for_each_file(spark, monkeypatch):
+    monkeypatch.setattr(container_queries, "FILE_ROWS", 2 * container_queries.CLUSTER)
+    df = spark.range(5000).selectExpr("(id * 7919) % 5000 k").repartition(5)
+    folder = container_queries._kept(spark, df, "nt", "k")
+    files = datasource._paths(folder)
+    assert [datasource.entry_count(f, "nt") for f in files] == [1400, 1400, 1400, 800]
+    got = datasource.read(spark, folder, "nt", entry=True, chunk=True).orderBy("__entry").collect()
+    assert [tuple(r) for r in got] == [(i, i // container_queries.CLUSTER, i) for i in range(5000)]
