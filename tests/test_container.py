@@ -525,3 +525,5 @@ def test_ordered_ntuples_take_a_task_for_each_file(spark, monkeypatch):
     assert [datasource.entry_count(f, "nt") for f in files] == [1400, 1400, 1400, 800]
     got = datasource.read(spark, folder, "nt", entry=True, chunk=True).orderBy("__entry").collect()
     assert [tuple(r) for r in got] == [(i, i // container_queries.CLUSTER, i) for i in range(5000)]
+    some = datasource.read(spark, folder, "nt", entry=True, rows=(1399, 2801)).orderBy("__entry").collect()
+    assert [tuple(r) for r in some] == [(i, i) for i in range(1399, 2801)]
