@@ -527,3 +527,15 @@ def test_ordered_ntuples_take_a_task_for_each_file(spark, monkeypatch):
     assert [tuple(r) for r in got] == [(i, i // container_queries.CLUSTER, i) for i in range(5000)]
     some = datasource.read(spark, folder, "nt", entry=True, rows=(1399, 2801)).orderBy("__entry").collect()
     assert [tuple(r) for r in some] == [(i, i) for i in range(1399, 2801)]
+
+
+def test_lists_are_laid_in_baskets_as_a_whole():
+    cells = [[1, 2], None, [], [3], [-4, 5, 6]]
+    for offset in (0, 1):
+        x = pa.array([[9]] * offset + cells, pa.list_(pa.int32()))[offset:]
+        whole = [np.asarray(c or [], ">i4").tobytes() for c in cells]
+        lists = tree_build._plain(x, ">i4")
+        assert isinstance(lists, tree_build.Lists) and lists.basket(0, 5) == (b"".join(whole), [0, 8, 8, 8, 12], 5)
+        assert lists.basket(3, 5) == (b"".join(whole[3:]), [0, 4], 2) and tree_build.write_tree({"v": (">i4", lists)}, basket=2) == tree_build.write_tree({"v": (">i4", [c or [] for c in cells])}, basket=2)
+    with pytest.raises(TypeError):
+        tree_build._plain(pa.array([[1, None]], pa.list_(pa.int32())), ">i4")
